@@ -4,9 +4,21 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spectraloom.llm import bpe
-from spectraloom.llm.common import read
+from spectraloom.llm import bpe, langid, mixing
+from spectraloom.llm.common import bucket_of, read
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = langid.fit(docs.filter(bucket_of("doc_id", 4) != 2))
+    return langid.identify(docs, model).withColumn("held_out", bucket_of("doc_id", 4) == 2)
+
+
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _, _ = mixing.mix(read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "source", "source_size", "target", "taken")
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +26,8 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_language_id": op2_language_id,
+    "op7_source_mix": op7_source_mix,
     "op9_byte_bpe": op9_byte_bpe,
 }
 ORACLES: dict[str, str] = {}
