@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectraloom.llm import bpe, langid, mixing
+from spectraloom.llm import bpe, jaccard, langid, mixing
 from spectraloom.llm.common import bucket_of, read
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(read(spark, sf_dir, "documents"))[0]
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = langid.fit(docs.filter(bucket_of("doc_id", 4) != 2))
@@ -26,6 +30,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_language_id": op2_language_id,
     "op7_source_mix": op7_source_mix,
     "op9_byte_bpe": op9_byte_bpe,
