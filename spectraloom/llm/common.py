@@ -152,7 +152,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """
 
     def summary(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum("b")).first())
+        return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         """a > b in and out."""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectraloom.llm import bpe, jaccard, langid, mixing, toxicity
+from spectraloom.llm import bpe, jaccard, langid, lines, mixing, toxicity
 from spectraloom.llm.common import bucket_of, read
 
 
@@ -20,6 +20,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).withColumn("held_out", bucket_of("doc_id", 4) == 2)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = lines.deduplicate(read(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _, _ = mixing.mix(read(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source", "source_size", "target", "taken")
@@ -38,6 +43,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_language_id": op2_language_id,
+    "op3_line_dedup": op3_line_dedup,
     "op7_source_mix": op7_source_mix,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_toxicity": op10_toxicity,
