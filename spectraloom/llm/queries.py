@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectraloom.llm import bpe, jaccard, langid, lines, mixing, toxicity
+from spectraloom.llm import bpe, hilbert, jaccard, kdtree, langid, lines, mixing, toxicity
 from spectraloom.llm.common import bucket_of, read
 
 
@@ -25,11 +25,19 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtree.search(read(spark, sf_dir, "embeddings"), every=20)
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _, _ = mixing.mix(read(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source", "source_size", "target", "taken")
 
 
+def op8_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.search(read(spark, sf_dir, "embeddings"), every=100)
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -44,7 +52,9 @@ QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_language_id": op2_language_id,
     "op3_line_dedup": op3_line_dedup,
+    "op6_exact_top_k": op6_exact_top_k,
     "op7_source_mix": op7_source_mix,
+    "op8_hilbert_neighbours": op8_hilbert_neighbours,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_toxicity": op10_toxicity,
 }
