@@ -15,7 +15,13 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 1 << 20
 
 
+#: Bytes of an Arrow batch between Spark and Python, so that a worker holds few texts at a time.
+BATCH_BYTES = 8 << 20
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table of ``sf_dir``; the session's Arrow batches become at most ``BATCH_BYTES``."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

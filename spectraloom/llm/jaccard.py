@@ -1,8 +1,8 @@
 """N-gram Jaccard join with a token-group matrix.
 
 Texts become sets of shingle hashes; equal sets are one node. Nodes that share
-a min-hash are tried against one leader, which ties most copies together; the
-connected nodes, cut into blocks, are the groups. The matrix holds for each
+a min-hash are compared in blocks that have one leader in common, which ties most
+copies together; the connected nodes, cut into blocks, are the groups. The matrix holds for each
 token the groups whose token union has it (tokens of the sets' prefixes, rare
 ones first). A node's overlap with a group's union bounds its overlap with any
 member; only groups that reach the bound are opened, and only if they are not
@@ -29,8 +29,7 @@ class Settings:
     longer). leaders: min-hashes. block_nodes: most nodes of a group on
     average. common_docs, common_tokens: tokens in at least so many texts count
     as common, the most frequent ones only; they are last in the prefix order,
-    which any choice of them leaves exact. broadcast_pairs: pairs up to which
-    their ids are broadcast rather than shuffled.
+    which any choice of them leaves exact.
     """
 
     width: int = 5
@@ -41,7 +40,6 @@ class Settings:
     block_nodes: int = 64
     common_docs: int = 32
     common_tokens: int = 1 << 16
-    broadcast_pairs: int = 100_000
 
 
 def _sets(batch: pa.RecordBatch, column: str, width: int):
@@ -54,17 +52,13 @@ def _sets(batch: pa.RecordBatch, column: str, width: int):
 
 
 def common_tokens(docs: DataFrame, s: Settings) -> np.ndarray:
-    """Hashes of the most frequent shingles, most frequent last; counted over all texts, repeats within a step pre-aggregated."""
+    """Hashes of the most frequent shingles, most frequent last; counted over all texts, a batch's repeats pre-aggregated."""
 
     def work(batches):
         for b in batches:
-            raw, offsets = text_buffer(b.column("text"))
-            for a, z in steps(offsets, 1 << 22):
-                h, at = word_hashes(raw[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a])
-                found = [shingles(h[at[i] : at[i + 1]], s.width) for i in range(z - a)]
-                token, n = np.unique(np.concatenate(found), return_counts=True)
-                keep = n >= 3
-                yield pa.RecordBatch.from_arrays([pa.array(token[keep].view(np.int64)), pa.array(n[keep])], ["token", "n"])
+            token, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *_sets(b, "text", s.width)]), return_counts=True)
+            keep = n >= 3
+            yield pa.RecordBatch.from_arrays([pa.array(token[keep].view(np.int64)), pa.array(n[keep])], ["token", "n"])
 
     counts = docs.select("text").mapInArrow(work, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = counts.filter(F.col("n") >= s.common_docs).orderBy(F.desc("n"), "token").limit(s.common_tokens).collect()
@@ -104,38 +98,49 @@ def signatures(docs: DataFrame, common: np.ndarray, s: Settings) -> DataFrame:
     return rows.mapInArrow(work, "doc_id long, n long, f1 long, f2 long, mins array<long>, prefix array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
-    """Those of the stored ``pairs`` (a, b: doc ids) whose texts reach the similarity."""
-    few = pairs.limit(s.broadcast_pairs + 1).count() <= s.broadcast_pairs
-    hint = F.broadcast if few else (lambda df: df)
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    left = texts.join(hint(pairs), texts["id"] == pairs["a"]).select("a", "b", F.col("text").alias("ta"))
-    if few:
-        ids = F.broadcast(pairs.select("b").distinct())
-        right = texts.join(ids, texts["id"] == ids["b"], "left_semi")
-    else:
-        right = texts
-    both = left.join(right, F.col("b") == F.col("id")).select("a", "b", "ta", F.col("text").alias("tb"))
+def linked(rows: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
+    """Verified links (a, b) of groups; ``rows`` (g: group, query: boolean, id).
+
+    The members of a group (query false) are held as sets, at most a few times
+    ``block_nodes``, and compared with one another until they are connected;
+    each query streams by and is compared until it meets a member. A group's
+    links therefore connect all that any of its pairs connects.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text")
+    both = rows.join(texts, F.col("id") == F.col("_id")).select("g", "query", "id", "text")
+    both = both.repartition("g").sortWithinPartitions("g", "query", "id")
+
+    def alike(x: np.ndarray, y: np.ndarray) -> bool:
+        if len(x) > len(y):
+            x, y = y, x
+        if not len(x) or len(x) * s.den < len(y) * s.num:
+            return False
+        at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+        common = int((y[at] == x).sum())
+        return s.den * common >= s.num * (len(x) + len(y) - common)
 
     def work(batches):
+        group, held, part = None, [], []
         for batch in batches:
-            keep, last = [], (None, None)
-            for a in range(0, batch.num_rows, 64):
-                part = batch.slice(a, 64)
-                names = part.column("b").to_pylist()
-                other = _sets(part, "tb", s.width) if len(set(names)) > 1 else None
-                for i, x in enumerate(_sets(part, "ta", s.width)):
-                    if other is not None:
-                        y = next(other)
-                    elif last[0] == names[0]:
-                        y = last[1]
-                    else:
-                        y = next(_sets(part.slice(0, 1), "tb", s.width))
-                    last = names[i], y
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(s.den * common >= s.num * (len(x) + len(y) - common) and common > 0)
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
+            found = []
+            names = zip(batch.column("g").to_pylist(), batch.column("query").to_pylist(), batch.column("id").to_pylist(), strict=True)
+            for (g, query, i), x in zip(names, _sets(batch, "text", s.width), strict=True):
+                if g != group:
+                    group, held, part = g, [], []
+                if query:
+                    hit = next((j for j, y in held if i != j and alike(x, y)), None)
+                    if hit is not None:
+                        found.append((i, hit))
+                    continue
+                mine = len(held)
+                for k, (j, y) in enumerate(held):
+                    if part[k] != mine and i != j and alike(x, y):
+                        old = part[k]
+                        part = [mine if v == old else v for v in part]
+                        found.append((i, j))
+                held.append((i, x))
+                part.append(mine)
+            yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in found], pa.int64()), pa.array([v[1] for v in found], pa.int64())], ["a", "b"])
 
     return both.mapInArrow(work, "a long, b long")
 
@@ -154,15 +159,18 @@ def join(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, D
     the component of that id. Other columns are not read.
     """
     s = settings
-    ok = lambda x, y: f"least({x}, {y}) * {s.den} >= greatest({x}, {y}) * {s.num}"
     table = stored(signatures(docs, common_tokens(docs, s), s))
     nodes = stored(table.filter("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id"), *(F.min(F.col("mins")[i]).alias(f"m{i}") for i in range(s.leaders))))
 
-    keyed = nodes.select("id", "n", F.posexplode(F.array(*(f"m{i}" for i in range(s.leaders)))).alias("k", "m"))
-    led = keyed.groupBy("k", "m").agg(F.min(F.struct("id", "n")).alias("lead"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    star = keyed.join(led, ["k", "m"]).filter(f"id <> lead.id and {ok('n', 'lead.n')}")
-    first = stored(star.select(F.col("id").alias("a"), F.col("lead.id").alias("b")).distinct())
-    links = stored(verified(first, docs, s))
+    keyed = nodes.select("id", F.posexplode(F.array(*(f"m{i}" for i in range(s.leaders)))).alias("k", "m"))
+    mine = F.xxhash64("id")
+    led = keyed.groupBy("k", "m").agg(F.min("id").alias("lead"), F.count("*").alias("c"), F.bit_xor(mine).alias("who")).filter("c > 1").dropDuplicates(["c", "who"])
+    led = led.withColumn("blocks", F.ceil(F.col("c") / s.block_nodes))
+    place = lambda block: F.xxhash64("k", "m", block.cast("long")).alias("g")
+    members = keyed.join(led, ["k", "m"]).filter("blocks = 1 or id <> lead").select(place(F.pmod(mine, "blocks")), "id")
+    leads = led.filter("blocks > 1").select("k", "m", F.col("lead").alias("id"), F.explode(F.expr("sequence(0L, blocks - 1L)")).alias("block"))
+    first = stored(members.union(leads.select(place(F.col("block")), "id")).withColumn("query", F.lit(False)))
+    links = stored(linked(first, docs, s))
     release(docs.sparkSession)
 
     label = components(links)
@@ -175,10 +183,10 @@ def join(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, D
     queries = rows.select("token", F.col("c").alias("qc"), "id", "n")
     near = f"n * {s.den} >= g_lo * {s.num} and g_hi * {s.den} >= n * {s.num}"
     met = queries.join(union, "token").filter(f"qc < c and {near}").groupBy("id", "n", "c", "block").agg(F.count("*").alias("shared"))
-    opened = met.filter(F.col("shared") >= need).select(F.col("id").alias("a"), F.col("n").alias("an"), "c", "block")
-    members = placed.select(F.col("id").alias("b"), "n", "c", "block")
-    second = stored(opened.join(members, ["c", "block"]).filter(ok("an", "n")).select("a", "b").distinct())
-    links = stored(links.union(verified(second, docs, s)))
+    opened = met.filter(F.col("shared") >= need).select(F.xxhash64("c", "block").alias("g"), "id", F.lit(True).alias("query"))
+    members = placed.select(F.xxhash64("c", "block").alias("g"), "id", F.lit(False).alias("query")).join(opened.select("g").distinct(), "g", "left_semi")
+    second = stored(opened.union(members.select(*opened.columns)))
+    links = stored(links.union(linked(second, docs, s)))
     release(docs.sparkSession)
 
     label = components(links)

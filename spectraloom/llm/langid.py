@@ -117,3 +117,15 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], settings: Settings
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(work, "doc_id long, lang_pred string, score double, margin double, accepted boolean")
+
+
+def accepted(docs: DataFrame, dictionaries: dict[str, bytes], settings: Settings = Settings()) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text the classifier accepts; decided where the text is read."""
+
+    def work(batches):
+        model = Classifier(dictionaries, settings)
+        for b in batches:
+            keep = [model.predict(t.as_py())[3] for t in b.column("text")]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)
