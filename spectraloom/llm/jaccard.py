@@ -1,12 +1,13 @@
 """N-gram Jaccard join with a token-group matrix.
 
 Texts become sets of shingle hashes; equal sets are one node. Nodes that share
-a min-hash are compared in blocks that have one leader in common, which ties most
-copies together; the connected nodes, cut into blocks, are the groups. The matrix holds for each
-token the groups whose token union has it (tokens of the sets' prefixes, rare
-ones first). A node's overlap with a group's union bounds its overlap with any
-member; only groups that reach the bound are opened, and only if they are not
-already connected with the node. What is found is verified on the texts.
+a min-hash are compared in blocks that have one leader in common, which ties
+most copies together. What may still link different components is found with
+the matrix: nodes are partitioned into groups by the most common token that
+they share with others, and the matrix holds for each token the groups whose
+token union has it (tokens of the sets' prefixes, rare ones first). A node's
+overlap with a group's union bounds its overlap with any member; only groups
+that reach the bound are opened, and their members compared on whole sets.
 """
 
 from __future__ import annotations
@@ -26,10 +27,9 @@ class Settings:
     """width, num / den: shingle length, least similarity.
 
     overlap: prefix tokens that a pair must share (prefixes are as much
-    longer). leaders: min-hashes. block_nodes: most nodes of a group on
-    average. common_docs, common_tokens: tokens in at least so many texts count
-    as common, the most frequent ones only; they are last in the prefix order,
-    which any choice of them leaves exact.
+    longer). leaders: min-hashes. block_nodes, block_tokens: nodes and tokens
+    of a group on average, at most. counter_bits: tokens are counted in so many
+    hashed counters (2**bits) for the prefix order, which any counts leave exact.
     """
 
     width: int = 5
@@ -37,9 +37,9 @@ class Settings:
     den: int = 100
     overlap: int = 3
     leaders: int = 3
-    block_nodes: int = 64
-    common_docs: int = 32
-    common_tokens: int = 1 << 16
+    block_nodes: int = 1024
+    block_tokens: int = 1 << 19
+    counter_bits: int = 20
 
 
 def _sets(batch: pa.RecordBatch, column: str, width: int):
@@ -51,38 +51,53 @@ def _sets(batch: pa.RecordBatch, column: str, width: int):
             yield shingles(h[at[i] : at[i + 1]], width)
 
 
-def common_tokens(docs: DataFrame, s: Settings) -> np.ndarray:
-    """Hashes of the most frequent shingles, most frequent last; counted over all texts, a batch's repeats pre-aggregated."""
+_CHUNK = 4096
 
-    def work(batches):
+
+def token_counts(docs: DataFrame, s: Settings) -> np.ndarray:
+    """Hashed counters of the tokens of all texts, a table of fixed size."""
+    size = 1 << s.counter_bits
+    shift = np.uint64(64 - s.counter_bits)
+
+    def add(batches):
+        total = np.zeros(size, np.int32)
+        for b in batches:
+            tokens = np.concatenate([np.zeros(0, np.uint64), *_sets(b, "text", s.width)])
+            total += np.bincount((tokens >> shift).astype(np.int64), minlength=size).astype(np.int32)
+        if total.any():
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(total), _CHUNK).cast(pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size // _CHUNK)), lists], ["chunk", "n"])
+
+    def merge(batches):
+        sums: dict[int, np.ndarray] = {}
         for b in batches:
-            token, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *_sets(b, "text", s.width)]), return_counts=True)
-            keep = n >= 3
-            yield pa.RecordBatch.from_arrays([pa.array(token[keep].view(np.int64)), pa.array(n[keep])], ["token", "n"])
+            for chunk, n in zip(b.column("chunk").to_pylist(), b.column("n"), strict=True):
+                n = n.values.to_numpy().astype(np.int64)
+                sums[chunk] = sums[chunk] + n if chunk in sums else n
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.int64()))], ["chunk", "n"])
 
-    counts = docs.select("text").mapInArrow(work, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counts.filter(F.col("n") >= s.common_docs).orderBy(F.desc("n"), "token").limit(s.common_tokens).collect()
-    return np.array([r.token for r in reversed(top)], np.int64).view(np.uint64)
+    parts = docs.select("text").mapInArrow(add, "chunk long, n array<int>").repartition("chunk").mapInArrow(merge, "chunk long, n array<long>")
+    out = np.zeros(size, np.int64)
+    for chunk, n in parts.collect():
+        out[chunk * _CHUNK : (chunk + 1) * _CHUNK] = n
+    return out
 
 
-def signatures(docs: DataFrame, common: np.ndarray, s: Settings) -> DataFrame:
+def signatures(docs: DataFrame, counts: np.ndarray, s: Settings) -> DataFrame:
     """doc_id, n, f1, f2, mins array<long>, prefix array<long> of every text."""
-    order = np.argsort(common, kind="stable")
-    known, rank = common[order], np.arange(len(common))[order]
+    excess = max(0, int(counts.max(initial=0)).bit_length() - 23)
+    sent = docs.sparkSession.sparkContext.broadcast((counts >> excess).astype(np.uint32))
+    shift = np.uint64(64 - s.counter_bits)
     salts = [np.uint64((2 * i + 1) * 0x9E3779B97F4A7C15 % 2**64) for i in range(s.leaders)]
 
-    def prefix(h: np.ndarray) -> np.ndarray:
+    def prefix(h: np.ndarray, table: np.ndarray) -> np.ndarray:
         n = len(h)
-        size = n - -(-s.num * n // s.den) + (s.overlap if n >= 4 else 1)
-        if len(known):
-            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-            hit = known[at] == h
-            if hit.any():
-                late = h[hit][np.argsort(rank[at[hit]], kind="stable")]
-                h = np.concatenate([h[~hit], late])
-        return h[:size]
+        size = min(n, n - -(-s.num * n // s.den) + (s.overlap if n >= 4 else 1))
+        order = (table[(h >> shift).astype(np.int64)].astype(np.uint64) << np.uint64(40)) | (mix(h) >> np.uint64(24))
+        return h[np.argpartition(order, size - 1)[:size]] if size else h
 
     def work(batches):
+        table = sent.value
         for b in batches:
             n, f1, f2, mins, pre = [], [], [], [], []
             for h in _sets(b, "text", s.width):
@@ -90,7 +105,7 @@ def signatures(docs: DataFrame, common: np.ndarray, s: Settings) -> DataFrame:
                 f1.append(int(h.sum(dtype=np.uint64).view(np.int64)) if len(h) else 0)
                 f2.append(int(np.bitwise_xor.reduce(mix(h)).view(np.int64)) if len(h) else 0)
                 mins.append(np.array([mix(h ^ x).min() for x in salts], np.uint64).view(np.int64) if len(h) else np.zeros(0, np.int64))
-                pre.append((prefix(h) >> np.uint64(16)).view(np.int64))
+                pre.append((prefix(h, table) >> np.uint64(16)).view(np.int64))
             many = lambda x: pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(y) for y in x])]).astype(np.int32), pa.array(np.concatenate([np.zeros(0, np.int64), *x])))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), many(mins), many(pre)], ["doc_id", "n", "f1", "f2", "mins", "prefix"])
 
@@ -98,53 +113,90 @@ def signatures(docs: DataFrame, common: np.ndarray, s: Settings) -> DataFrame:
     return rows.mapInArrow(work, "doc_id long, n long, f1 long, f2 long, mins array<long>, prefix array<long>")
 
 
+class _Group:
+    """The sets of a group's members as postings, and which members are connected so far."""
+
+    def __init__(self, ids: list[int], labels: list[int], sets: list[np.ndarray], s: Settings):
+        self.ids, self.s = np.array(ids), s
+        self.sizes = np.array([len(x) for x in sets])
+        self.roots = {c: c for c in labels}
+        self.labels = labels
+        tokens = np.concatenate(sets)
+        order = np.argsort(tokens, kind="stable")
+        self.tokens, self.owner = tokens[order], np.repeat(np.arange(len(sets)), self.sizes)[order]
+
+    def _root(self, c: int) -> int:
+        self.roots.setdefault(c, c)
+        while self.roots[c] != c:
+            self.roots[c] = c = self.roots[self.roots[c]]
+        return c
+
+    def links(self, i: int, label: int, x: np.ndarray) -> list[tuple[int, int]]:
+        """Members similar to ``x`` that it was not connected with yet; it is then."""
+        if not len(x):
+            return []
+        a, z = np.searchsorted(self.tokens, x, "left"), np.searchsorted(self.tokens, x, "right")
+        on = z > a
+        a, many = a[on], (z - a)[on]
+        if not len(a):
+            return []
+        at = np.repeat(a - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+        common = np.bincount(self.owner[at], minlength=len(self.sizes))
+        hits = np.flatnonzero((self.s.den * common >= self.s.num * (len(x) + self.sizes - common)) & (common > 0))
+        out = []
+        for j in hits:
+            mine, other = self._root(label), self._root(self.labels[j])
+            if mine != other:
+                self.roots[mine] = other
+                out.append((i, int(self.ids[j])))
+        return out
+
+
 def linked(rows: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
-    """Verified links (a, b) of groups; ``rows`` (g: group, query: boolean, id).
+    """Verified links (a, b) of groups; ``rows`` (g: group, query: boolean, id, c: component so far).
 
-    The members of a group (query false) are held as sets, at most a few times
-    ``block_nodes``, and compared with one another until they are connected;
-    each query streams by and is compared until it meets a member. A group's
-    links therefore connect all that any of its pairs connects.
+    The members of a group (query false) are held as postings of their whole
+    sets and compared with one another; queries stream by. Only links between
+    what is not connected yet are returned, so they connect all that any
+    similar pair of a group connects.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text")
-    both = rows.join(texts, F.col("id") == F.col("_id")).select("g", "query", "id", "text")
+    both = rows.join(texts, F.col("id") == F.col("_id")).select("g", "query", "id", "c", "text")
     both = both.repartition("g").sortWithinPartitions("g", "query", "id")
 
-    def alike(x: np.ndarray, y: np.ndarray) -> bool:
-        if len(x) > len(y):
-            x, y = y, x
-        if not len(x) or len(x) * s.den < len(y) * s.num:
-            return False
-        at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-        common = int((y[at] == x).sum())
-        return s.den * common >= s.num * (len(x) + len(y) - common)
-
     def work(batches):
-        group, held, part = None, [], []
+        current, held, group = None, [], None
+
+        def close():
+            nonlocal group
+            if group is None and held:
+                group = _Group([i for i, _, _ in held], [c for _, c, _ in held], [x for _, _, x in held], s)
+                return [pair for i, c, x in held for pair in group.links(i, c, x)]
+            return []
+
         for batch in batches:
             found = []
-            names = zip(batch.column("g").to_pylist(), batch.column("query").to_pylist(), batch.column("id").to_pylist(), strict=True)
-            for (g, query, i), x in zip(names, _sets(batch, "text", s.width), strict=True):
-                if g != group:
-                    group, held, part = g, [], []
+            names = zip(*(batch.column(k).to_pylist() for k in ("g", "query", "id", "c")), strict=True)
+            for (g, query, i, c), x in zip(names, _sets(batch, "text", s.width), strict=True):
+                if g != current:
+                    found += close()
+                    current, held, group = g, [], None
                 if query:
-                    hit = next((j for j, y in held if i != j and alike(x, y)), None)
-                    if hit is not None:
-                        found.append((i, hit))
-                    continue
-                mine = len(held)
-                for k, (j, y) in enumerate(held):
-                    if part[k] != mine and i != j and alike(x, y):
-                        old = part[k]
-                        part = [mine if v == old else v for v in part]
-                        found.append((i, j))
-                held.append((i, x))
-                part.append(mine)
+                    found += close()
+                    found += group.links(i, c, x) if group is not None else []
+                else:
+                    held.append((i, c, x))
             yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in found], pa.int64()), pa.array([v[1] for v in found], pa.int64())], ["a", "b"])
+        found = close()
+        yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in found], pa.int64()), pa.array([v[1] for v in found], pa.int64())], ["a", "b"])
 
     return both.mapInArrow(work, "a long, b long")
 
 
+def _blocks(s: Settings):
+    return F.ceil(F.greatest(F.col("c") / s.block_nodes, F.col("tokens") / s.block_tokens))
+
+
 def join(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
     """(classes, links) of ``docs`` (doc_id, text).
 
@@ -159,33 +211,24 @@ def join(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, D
     the component of that id. Other columns are not read.
     """
     s = settings
-    table = stored(signatures(docs, common_tokens(docs, s), s))
+    table = stored(signatures(docs, token_counts(docs, s), s))
     nodes = stored(table.filter("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id"), *(F.min(F.col("mins")[i]).alias(f"m{i}") for i in range(s.leaders))))
 
-    keyed = nodes.select("id", F.posexplode(F.array(*(f"m{i}" for i in range(s.leaders)))).alias("k", "m"))
+    keyed = nodes.select("id", "n", F.posexplode(F.array(*(f"m{i}" for i in range(s.leaders)))).alias("k", "m"))
     mine = F.xxhash64("id")
-    led = keyed.groupBy("k", "m").agg(F.min("id").alias("lead"), F.count("*").alias("c"), F.bit_xor(mine).alias("who")).filter("c > 1").dropDuplicates(["c", "who"])
-    led = led.withColumn("blocks", F.ceil(F.col("c") / s.block_nodes))
+    led = keyed.groupBy("k", "m").agg(F.min("id").alias("lead"), F.count("*").alias("c"), F.sum("n").alias("tokens"), F.bit_xor(mine).alias("who")).filter("c > 1").dropDuplicates(["c", "who"])
+    led = led.withColumn("blocks", _blocks(s)).select("k", "m", "lead", "blocks")
     place = lambda block: F.xxhash64("k", "m", block.cast("long")).alias("g")
     members = keyed.join(led, ["k", "m"]).filter("blocks = 1 or id <> lead").select(place(F.pmod(mine, "blocks")), "id")
     leads = led.filter("blocks > 1").select("k", "m", F.col("lead").alias("id"), F.explode(F.expr("sequence(0L, blocks - 1L)")).alias("block"))
-    first = stored(members.union(leads.select(place(F.col("block")), "id")).withColumn("query", F.lit(False)))
+    first = stored(members.union(leads.select(place(F.col("block")), "id")).select("g", F.lit(False).alias("query"), "id", F.col("id").alias("c")))
     links = stored(linked(first, docs, s))
     release(docs.sparkSession)
 
     label = components(links)
-    placed = nodes.select("id", "n", "f1", "f2").join(label.select("id", F.col("component").alias("c")), "id", "left").withColumn("c", F.coalesce("c", "id"))
-    size = placed.groupBy("c").agg(F.count("*").alias("c_size"))
-    placed = stored(placed.join(size, "c").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("c_size") / s.block_nodes))).drop("c_size"))
-    rows = stored(_matrix(table, placed))
-    union = rows.groupBy("token", "c", "block").agg(F.min("n").alias("g_lo"), F.max("n").alias("g_hi"))
-    need = F.when(F.col("n") * s.num >= 4 * s.den, s.overlap).otherwise(1)
-    queries = rows.select("token", F.col("c").alias("qc"), "id", "n")
-    near = f"n * {s.den} >= g_lo * {s.num} and g_hi * {s.den} >= n * {s.num}"
-    met = queries.join(union, "token").filter(f"qc < c and {near}").groupBy("id", "n", "c", "block").agg(F.count("*").alias("shared"))
-    opened = met.filter(F.col("shared") >= need).select(F.xxhash64("c", "block").alias("g"), "id", F.lit(True).alias("query"))
-    members = placed.select(F.xxhash64("c", "block").alias("g"), "id", F.lit(False).alias("query")).join(opened.select("g").distinct(), "g", "left_semi")
-    second = stored(opened.union(members.select(*opened.columns)))
+    placed = stored(nodes.select("id", "n").join(label.select("id", F.col("component").alias("c")), "id", "left").withColumn("c", F.coalesce("c", "id")))
+    tokens = stored(_shared_tokens(table, placed))
+    second = stored(_opened(tokens, s))
     links = stored(links.union(linked(second, docs, s)))
     release(docs.sparkSession)
 
@@ -195,9 +238,27 @@ def join(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, D
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id")), links
 
 
-def _matrix(table: DataFrame, placed: DataFrame) -> DataFrame:
-    """token, id, n, c, block: prefix tokens of nodes, but only tokens that nodes of different components have."""
-    tokens = placed.select("id", "c").join(table.select("doc_id", "prefix"), F.col("id") == F.col("doc_id")).select("id", "c", F.explode("prefix").alias("token"))
+def _shared_tokens(table: DataFrame, placed: DataFrame) -> DataFrame:
+    """token, df, id, c, n: prefix tokens of nodes, but only tokens that nodes of different components have."""
+    prefixes = table.select("doc_id", "prefix")
+    tokens = placed.join(prefixes, F.col("id") == F.col("doc_id")).select("id", "c", F.explode(F.array_distinct("prefix")).alias("token"))
     every = Window.partitionBy("token")
-    shared = tokens.withColumn("lo", F.min("c").over(every)).withColumn("hi", F.max("c").over(every)).filter("lo < hi").select("token", "id")
-    return shared.distinct().join(placed.select("id", "n", "c", "block"), "id")
+    shared = tokens.withColumn("lo", F.min("c").over(every)).withColumn("hi", F.max("c").over(every)).withColumn("df", F.count("*").over(every))
+    return shared.filter("lo < hi").select("token", "df", "id").join(placed, "id")
+
+
+def _opened(tokens: DataFrame, s: Settings) -> DataFrame:
+    """g, query, id, c: members of the groups that are opened, and the queries that open them."""
+    home = tokens.groupBy("id").agg(F.max_by("token", F.struct("df", "token")).alias("h"), F.first("c").alias("c"), F.first("n").alias("n"))
+    sizes = home.groupBy("h").agg(F.count("*").alias("c"), F.sum("n").alias("tokens")).select("h", _blocks(s).alias("blocks"))
+    home = stored(home.join(sizes, "h").select("id", "c", "n", F.xxhash64("h", F.pmod(F.xxhash64("id"), "blocks")).alias("g")))
+    at = tokens.select("token", "id").join(home, "id")
+    union = at.groupBy("token", "g").agg(F.min("n").alias("g_lo"), F.max("n").alias("g_hi"), F.min("c").alias("c_lo"), F.max("c").alias("c_hi"))
+    queries = at.select("token", "id", "c", "n", F.col("g").alias("own"))
+    near = f"n * {s.den} >= g_lo * {s.num} and g_hi * {s.den} >= n * {s.num} and own <= g and (c_lo <> c or c_hi <> c)"
+    met = queries.join(union, "token").filter(near).groupBy("id", "c", "n", "own", "g").agg(F.count("*").alias("shared"))
+    need = F.when(F.col("n") * s.num >= 4 * s.den, s.overlap).otherwise(1)
+    met = stored(met.filter(F.col("shared") >= need))
+    asked = met.filter("own <> g").select("g", F.lit(True).alias("query"), "id", "c")
+    members = home.join(met.select("g").distinct(), "g", "left_semi").select("g", F.lit(False).alias("query"), "id", "c")
+    return asked.union(members)
