@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SCHEMA = "file string, ordinal long, scan int, charge int, prec_mass double, rtime double, peaks array<struct<mz: double, intensity: double>>, info map<string, string>"
 
@@ -76,8 +76,8 @@ class _Reader(DataSourceReader):
             yield from parse(lines, os.path.basename(partition.path))
 
 
-class _StreamReader(SimpleDataSourceStreamReader):
-    """New files of a folder in name order; the offset is the last name read."""
+class _StreamReader(DataSourceStreamReader):
+    """New files of a folder in name order, each read by a task of its own; the offset is the last name."""
 
     def __init__(self, path: str):
         self.path = path
@@ -85,20 +85,15 @@ class _StreamReader(SimpleDataSourceStreamReader):
     def initialOffset(self):
         return {"last": ""}
 
-    def _rows(self, after: str, upto: str | None):
-        for f in _files(self.path):
-            name = os.path.basename(f)
-            if name > after and (upto is None or name <= upto):
-                with open(f) as lines:
-                    yield from parse(lines, name)
+    def latestOffset(self):
+        return {"last": max((os.path.basename(f) for f in _files(self.path)), default="")}
 
-    def read(self, start):
-        names = [n for f in _files(self.path) if (n := os.path.basename(f)) > start["last"]]
-        end = {"last": names[-1] if names else start["last"]}
-        return self._rows(start["last"], end["last"]), end
+    def partitions(self, start, end):
+        return [_File(f) for f in _files(self.path) if start["last"] < os.path.basename(f) <= end["last"]]
 
-    def readBetweenOffsets(self, start, end):
-        return self._rows(start["last"], end["last"])
+    def read(self, partition):
+        with open(partition.path) as lines:
+            yield from parse(lines, os.path.basename(partition.path))
 
 
 class MS2DataSource(DataSource):
@@ -112,7 +107,7 @@ class MS2DataSource(DataSource):
     def reader(self, schema):
         return _Reader(self.options["path"])
 
-    def simpleStreamReader(self, schema):
+    def streamReader(self, schema):
         return _StreamReader(self.options["path"])
 
 
