@@ -161,7 +161,7 @@ def linked(rows: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
     similar pair of a group connects.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text")
-    both = rows.join(texts, F.col("id") == F.col("_id")).select("g", "query", "id", "c", "text")
+    both = rows.hint("merge").join(texts, F.col("id") == F.col("_id")).select("g", "query", "id", "c", "text")
     both = both.repartition("g").sortWithinPartitions("g", "query", "id")
 
     def work(batches):
@@ -241,7 +241,7 @@ def join(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, D
 def _shared_tokens(table: DataFrame, placed: DataFrame) -> DataFrame:
     """token, df, id, c, n: prefix tokens of nodes, but only tokens that nodes of different components have."""
     prefixes = table.select("doc_id", "prefix")
-    tokens = placed.join(prefixes, F.col("id") == F.col("doc_id")).select("id", "c", F.explode(F.array_distinct("prefix")).alias("token"))
+    tokens = placed.hint("merge").join(prefixes, F.col("id") == F.col("doc_id")).select("id", "c", F.explode(F.array_distinct("prefix")).alias("token"))
     every = Window.partitionBy("token")
     shared = tokens.withColumn("lo", F.min("c").over(every)).withColumn("hi", F.max("c").over(every)).withColumn("df", F.count("*").over(every))
     return shared.filter("lo < hi").select("token", "df", "id").join(placed, "id")
