@@ -28,8 +28,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of smallest id of each group of near copies."""
     classes, _ = jaccard.join(docs)
-    keep = classes.filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(keep, F.col("doc_id") == F.col("_id"), "left_semi")
+    keep = classes.filter("doc_id = component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
+    return docs.join(keep, F.col("doc_id") == F.col("__kept_id"), "left_semi")
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

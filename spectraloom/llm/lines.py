@@ -1,10 +1,11 @@
 """Fuzzy line deduplication, in DataFrame operations only.
 
-Lines are normalised (lower-cased letters and digits); equal ones are one node.
-A node's SimHash is the bitwise majority of its words' hashes. Nodes whose
-SimHashes differ in at most three bits agree in two of five bit blocks, which
-are the join keys; candidates are verified by edit similarity. Of each
-connected group the first occurrence stays, every other one is removed.
+Lines are read as words of lower-cased letters and digits; lines of equal words
+are one node. A node's SimHash is the bitwise majority of its words' hashes.
+Nodes whose SimHashes differ in at most three bits agree in two of five bit
+blocks, which are the join keys; candidates are verified by their edit
+similarity in words. Of each connected group the first occurrence stays, every
+other one is removed.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spectraloom.llm.common import components, release, stored
@@ -24,7 +25,7 @@ _BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 
 @dataclass(frozen=True)
 class Settings:
-    """similarity: least 1 - edits / longer length, in characters of normalised lines.
+    """similarity: least 1 - edits / longer length, in words.
 
     hamming: bits in which SimHashes may differ; five blocks allow up to 3.
     fuzzy_words: a line of more words is matched exactly only (its counters
@@ -39,28 +40,31 @@ class Settings:
     pair_bucket: int = 64
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line (from 0), norm, h of each line with a letter or digit."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
-    norm = F.trim(F.regexp_replace(F.lower("raw"), r"[^\p{L}\p{N}]+", " "))
-    return rows.select("doc_id", "line", norm.alias("norm")).filter("norm <> ''").withColumn("h", F.xxhash64("norm"))
+_GAP = r"[^\p{L}\p{N}]+"
+
+
+def words_of(raw: str | Column) -> Column:
+    """Words of a line; one that begins with a gap has an empty first word, which is dropped."""
+    return F.array_remove(F.split(F.lower(raw), _GAP), "")
 
 
-def simhashes(every: DataFrame, s: Settings) -> DataFrame:
-    """h, sim of each distinct line of up to ``fuzzy_words`` words.
+def lines(docs: DataFrame, s: Settings) -> DataFrame:
+    """doc_id, line (from 0), h, sim of each line with a letter or digit; sim is null above ``fuzzy_words`` words.
 
-    Word hashes are added up in 16 longs of four 16-bit counters each; a line's
-    words are in one task, so each line leaves it as one row.
+    Word hashes are added up in 16 longs of four 16-bit counters each, in the
+    task that reads the text; each line leaves it as one row.
     """
-    words = every.withColumn("words", F.split("norm", " ")).withColumn("n", F.size("words")).filter(F.col("n") <= s.fuzzy_words)
-    x = words.select("doc_id", "line", "h", "n", F.explode("words").alias("w")).select("doc_id", "line", "h", "n", F.xxhash64("w").alias("x"))
-    sums = x.groupBy("doc_id", "line", "h", "n").agg(*(F.sum(F.shiftrightunsigned("x", j).bitwiseAND(_LANES)).alias(f"s{j}") for j in range(16)))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
+    rows = rows.select("doc_id", "line", words_of("raw").alias("words")).filter("size(words) > 0")
+    rows = rows.select("doc_id", "line", F.xxhash64("words").alias("h"), F.size("words").alias("n"), "words")
+    counted = rows.select("doc_id", "line", "h", "n", F.explode(F.when(F.col("n") <= s.fuzzy_words, F.col("words")).otherwise(F.array(F.lit("")))).alias("w")).select("doc_id", "line", "h", "n", F.xxhash64("w").alias("x"))
+    sums = counted.groupBy("doc_id", "line", "h", "n").agg(*(F.sum(F.shiftrightunsigned("x", j).bitwiseAND(_LANES)).alias(f"s{j}") for j in range(16)))
     sim = F.lit(0).cast("long")
     for j in range(16):
         for lane in range(4):
             count = F.shiftrightunsigned(F.col(f"s{j}"), 16 * lane).bitwiseAND(0xFFFF)
             sim = sim.bitwiseOR(F.when(count * 2 > F.col("n"), F.shiftleft(F.lit(1).cast("long"), 16 * lane + j)).otherwise(F.lit(0).cast("long")))
-    return sums.select("h", sim.alias("sim")).groupBy("h").agg(F.min("sim").alias("sim"))
+    return sums.select("doc_id", "line", "h", F.when(F.col("n") <= s.fuzzy_words, sim).alias("sim"))
 
 
 def keyed(nodes: DataFrame) -> DataFrame:
@@ -74,53 +78,68 @@ def _close(s: Settings, a: str, b: str):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= s.hamming
 
 
-def verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, s: Settings) -> DataFrame:
-    """Those of the stored ``pairs`` (a, b) of line hashes that reach the edit similarity."""
-    ids = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
-    places = first.select("h", "doc_id", "line").join(ids, "h")
-    texts = lines(docs).select("doc_id", "line", "norm").join(places, ["doc_id", "line"]).select("h", "norm").dropDuplicates(["h"])
-    texts = stored(texts)
-    both = pairs.join(texts.select(F.col("h").alias("a"), F.col("norm").alias("na")), "a").join(texts.select(F.col("h").alias("b"), F.col("norm").alias("nb")), "b")
-    both = both.withColumn("most", F.floor(F.greatest(F.length("na"), F.length("nb")) * F.lit(1 - s.similarity) + F.lit(1e-9)).cast("int"))
-    edits = F.expr("levenshtein(na, nb, most)")
-    return both.filter((F.abs(F.length("na") - F.length("nb")) <= F.col("most")) & edits.between(0, F.col("most"))).select("a", "b")
+def _codes(raw: Column) -> Column:
+    """A line with each word as one character (a hashed code point above the basic plane), for edit distances in words."""
+    code = lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(0x100000)) + F.lit(0x10000)), 8, "0")
+    return F.decode(F.unhex(F.array_join(F.transform(words_of(raw), code), "")), "UTF-32")
+
+
+def _texts(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """h, words (coded) of the lines at ``places`` (h, doc_id, line); only their documents' lines are read."""
+    wanted = places.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("line", "h")).alias("at"))
+    met = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id") == F.col("_id"))
+    rows = met.select(F.split("text", "\n", -1).alias("parts"), "at").select("parts", F.explode("at").alias("p"))
+    rows = rows.select(F.col("p.h").alias("h"), F.get("parts", F.col("p.line")).alias("raw"))
+    return rows.filter("raw is not null").select("h", _codes(F.col("raw")).alias("words")).dropDuplicates(["h"])
+
+
+def verified(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+    """Those of ``pairs`` (a, b) of line hashes whose ``texts`` reach the edit similarity."""
+    x, y = texts.select(F.col("h").alias("a"), F.col("words").alias("wa")), texts.select(F.col("h").alias("b"), F.col("words").alias("wb"))
+    both = pairs.join(x, "a").join(y, "b").withColumn("na", F.length("wa")).withColumn("nb", F.length("wb"))
+    both = both.withColumn("most", F.floor(F.greatest("na", "nb") * F.lit(1 - s.similarity) + F.lit(1e-9)).cast("int")).filter(F.abs(F.col("na") - F.col("nb")) <= F.col("most"))
+    return both.filter("levenshtein(wa, wb, most) between 0 and most").select("a", "b")
 
 
 def removed_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, gone (array of line numbers, ascending) of each document that loses lines.
 
-    Of each group of lines (equal when normalised, or connected by similar
-    pairs) the occurrence of smallest doc_id, then line, stays.
+    Of each group of lines (of equal words, or connected by similar pairs) the
+    occurrence of smallest doc_id, then line, stays. The texts are read once
+    for all lines' hashes, and once more for the candidates' words.
     """
     s = settings
-    every = lines(docs)
-    place = F.struct("doc_id", "line")
-    seen = stored(every.groupBy("h").agg(F.min(place).alias("at"), F.count("*").alias("n")))
-    first = seen.select("h", F.col("at.doc_id").alias("doc_id"), F.col("at.line").alias("line"))
-    nodes = stored(simhashes(every, s))
+    every = stored(lines(docs, s))
+    release(docs.sparkSession)
+    seen = stored(every.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count("*").alias("n"), F.min("sim").alias("sim")))
+    bucket = Window.partitionBy("key")
+    shared = keyed(seen.filter("sim is not null").select("h", "sim")).withColumn("c", F.count("*").over(bucket)).filter("c > 1")
+    shared = stored(shared)
     release(docs.sparkSession)
-    keys = stored(keyed(nodes))
-    buckets = stored(keys.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("h", "sim")).alias("lead")).filter("c > 1"))
-    small = keys.join(buckets.filter(F.col("c") <= s.pair_bucket).select("key"), "key")
-    x, y = small.select("key", F.col("h").alias("a"), F.col("sim").alias("sa")), small.select("key", F.col("h").alias("b"), F.col("sim").alias("sb"))
-    pairs = x.join(y, (x["key"] == y["key"]) & (x["a"] < y["b"]) & _close(s, "sa", "sb")).select("a", "b")
-    led = keys.join(buckets.filter(F.col("c") > s.pair_bucket).select("key", "lead"), "key").filter(F.col("h") > F.col("lead.h")).withColumn("ls", F.col("lead.sim")).filter(_close(s, "sim", "ls"))
+    small, large = shared.filter(F.col("c") <= s.pair_bucket), shared.filter(F.col("c") > s.pair_bucket)
+
+    def side(rows: DataFrame, name: str, *more: str) -> DataFrame:
+        return rows.select(F.col("key").alias(f"k{name}"), F.col("h").alias(name), F.col("sim").alias(f"s{name}"), *(F.col(c).alias(f"{c}{name}") for c in more))
+
+    meet = (F.col("ka") == F.col("kb")) & (F.col("a") < F.col("b")) & _close(s, "sa", "sb")
+    pairs = side(small, "a").join(side(small, "b"), meet).select("a", "b")
+    led = large.join(large.groupBy("key").agg(F.min(F.struct("h", "sim")).alias("lead")), "key").filter(F.col("h") > F.col("lead.h")).withColumn("ls", F.col("lead.sim")).filter(_close(s, "sim", "ls"))
     pairs = stored(pairs.union(led.select(F.col("lead.h").alias("a"), F.col("h").alias("b"))).distinct())
-    links = stored(verified(pairs, docs, first, s))
+    ids = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).union(large.select("h")).distinct()
+    places = seen.select("h", F.col("at.doc_id").alias("doc_id"), F.col("at.line").alias("line")).join(ids, "h")
+    texts = stored(_texts(docs, places))
     release(docs.sparkSession)
+    links = stored(verified(pairs, texts, s))
     label = components(links)
-    if not buckets.filter(F.col("c") > s.pair_bucket).isEmpty():
-        large = keys.join(buckets.filter(F.col("c") > s.pair_bucket).select("key"), "key").join(label.withColumnRenamed("id", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
-        large = stored(large)
-        x = large.select("key", F.col("h").alias("a"), F.col("sim").alias("sa"), F.col("component").alias("ca"))
-        y = large.select("key", F.col("h").alias("b"), F.col("sim").alias("sb"), F.col("component").alias("cb"))
-        more = stored(x.join(y, (x["key"] == y["key"]) & (x["a"] < y["b"]) & (x["ca"] != y["cb"]) & _close(s, "sa", "sb")).select("a", "b").distinct())
-        links = stored(links.union(verified(more, docs, first, s)))
+    if not large.isEmpty():
+        apart = stored(large.join(label.withColumnRenamed("id", "h"), "h", "left").withColumn("component", F.coalesce("component", "h")))
+        more = side(apart, "a", "component").join(side(apart, "b", "component"), meet & (F.col("componenta") != F.col("componentb"))).select("a", "b").distinct()
+        links = stored(links.union(verified(more, texts, s)))
         label = components(links)
     seen = seen.join(label.select(F.col("id").alias("h"), "component"), "h", "left").withColumn("component", F.coalesce("component", "h"))
     keep = seen.groupBy("component").agg(F.min("at").alias("keep"), F.sum("n").alias("all")).filter("all > 1")
     repeated = seen.join(keep.select("component", "keep"), "component").select("h", "keep")
-    gone = lines(docs).select("doc_id", "line", "h").join(repeated, "h").filter((F.col("doc_id") != F.col("keep.doc_id")) | (F.col("line") != F.col("keep.line")))
+    gone = every.join(repeated, "h").filter((F.col("doc_id") != F.col("keep.doc_id")) | (F.col("line") != F.col("keep.line")))
     return stored(gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("gone")))
 
 
@@ -137,7 +156,7 @@ def deduplicate(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
     found = docs.join(gone, docs["doc_id"] == gone["_id"], "left")
-    lines_in = F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long")
+    lines_in = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
     others = [docs[c] for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
     return found.select(*others, text.alias("text"), lines_in.alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
 

@@ -121,5 +121,5 @@ def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
     A document without words is not taken. Columns are those of ``docs``.
     """
     rows, _, _ = mix(docs, seed)
-    copies = rows.filter("taken > 0").groupBy("doc_id").agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("_copies"))
-    return docs.join(copies.filter("_copies > 0").withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    copies = rows.filter("taken > 0").groupBy("doc_id").agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("__mix_copies"))
+    return docs.join(copies.filter("__mix_copies > 0").withColumnRenamed("doc_id", "__mix_id"), F.col("doc_id") == F.col("__mix_id")).withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).select(*docs.columns)
