@@ -1,7 +1,9 @@
 """Fuzzy line deduplication, in DataFrame operations only.
 
 Lines are read as words of lower-cased letters and digits; lines of equal words
-are one node. A node's SimHash is the bitwise majority of its words' hashes.
+are one node. A node's SimHash is the bitwise majority of the hashes of its
+words of five letters and more (short words are so common that they would make
+all lines alike).
 Nodes whose SimHashes differ in at most three bits agree in two of five bit
 blocks, which are the join keys; candidates are verified by their edit
 similarity in words. Of each connected group the first occurrence stays, every
@@ -28,14 +30,17 @@ class Settings:
     """similarity: least 1 - edits / longer length, in words.
 
     hamming: bits in which SimHashes may differ; five blocks allow up to 3.
+    long_word: letters of a word that the SimHash counts.
     fuzzy_words: a line of more words is matched exactly only (its counters
-    would overflow, and edits of such lines are not computed).
+    would overflow, and edits of such lines are not computed). A line of so few
+    words that no edit is allowed has no similar lines and gets no SimHash.
     pair_bucket: in a larger bucket of a block key, nodes are first tried
     against one leader, and only those left apart are paired.
     """
 
     similarity: float = 0.9
     hamming: int = 3
+    long_word: int = 5
     fuzzy_words: int = 16_000
     pair_bucket: int = 64
 
@@ -48,23 +53,30 @@ def words_of(raw: str | Column) -> Column:
     return F.array_remove(F.split(F.lower(raw), _GAP), "")
 
 
+def _least_words(s: Settings) -> int:
+    """Fewest words of a line that may be similar to another."""
+    return next(n for n in range(1, 1 << 20) if any(m - n <= (allowed := int(m * (1 - s.similarity) + 1e-9)) and allowed > 0 for m in range(n, 2 * n + 2)))
+
+
 def lines(docs: DataFrame, s: Settings) -> DataFrame:
-    """doc_id, line (from 0), h, sim of each line with a letter or digit; sim is null above ``fuzzy_words`` words.
+    """doc_id, line (from 0), h, sim of each line with a letter or digit; sim is null for a line of too few or too many words.
 
     Word hashes are added up in 16 longs of four 16-bit counters each, in the
-    task that reads the text; each line leaves it as one row.
+    task that reads the text; each line leaves it as one row. A counter is over
+    half if adding 0x3FFF less the half sets its bit 14.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
     rows = rows.select("doc_id", "line", words_of("raw").alias("words")).filter("size(words) > 0")
-    rows = rows.select("doc_id", "line", F.xxhash64("words").alias("h"), F.size("words").alias("n"), "words")
-    counted = rows.select("doc_id", "line", "h", "n", F.explode(F.when(F.col("n") <= s.fuzzy_words, F.col("words")).otherwise(F.array(F.lit("")))).alias("w")).select("doc_id", "line", "h", "n", F.xxhash64("w").alias("x"))
-    sums = counted.groupBy("doc_id", "line", "h", "n").agg(*(F.sum(F.shiftrightunsigned("x", j).bitwiseAND(_LANES)).alias(f"s{j}") for j in range(16)))
+    rows = rows.select("doc_id", "line", F.xxhash64("words").alias("h"), F.size("words").between(_least_words(s), s.fuzzy_words).alias("fuzzy"), "words")
+    words = rows.select("doc_id", "line", "h", "fuzzy", F.posexplode(F.when(F.col("fuzzy"), F.col("words")).otherwise(F.array(F.lit("")))).alias("i", "w"))
+    long = F.length("w") >= s.long_word
+    words = words.filter((F.col("i") == 0) | long).select("doc_id", "line", "h", "fuzzy", F.when(long, 1).otherwise(0).alias("one"), F.when(long, F.xxhash64("w")).otherwise(F.lit(0).cast("long")).alias("x"))
+    sums = words.groupBy("doc_id", "line", "h", "fuzzy").agg(F.sum("one").alias("n"), *(F.sum(F.shiftrightunsigned("x", j).bitwiseAND(_LANES)).alias(f"s{j}") for j in range(16)))
+    sums = sums.withColumn("half", (F.lit(0x3FFF) - F.expr("n div 2")) * F.lit(_LANES))
     sim = F.lit(0).cast("long")
     for j in range(16):
-        for lane in range(4):
-            count = F.shiftrightunsigned(F.col(f"s{j}"), 16 * lane).bitwiseAND(0xFFFF)
-            sim = sim.bitwiseOR(F.when(count * 2 > F.col("n"), F.shiftleft(F.lit(1).cast("long"), 16 * lane + j)).otherwise(F.lit(0).cast("long")))
-    return sums.select("doc_id", "line", "h", F.when(F.col("n") <= s.fuzzy_words, sim).alias("sim"))
+        sim = sim.bitwiseOR(F.shiftleft(F.shiftrightunsigned(F.col(f"s{j}") + F.col("half"), 14).bitwiseAND(_LANES), j))
+    return sums.select("doc_id", "line", "h", F.when(F.col("fuzzy") & (F.col("n") > 0), sim).alias("sim"))
 
 
 def keyed(nodes: DataFrame) -> DataFrame:
@@ -87,7 +99,7 @@ def _codes(raw: Column) -> Column:
 def _texts(docs: DataFrame, places: DataFrame) -> DataFrame:
     """h, words (coded) of the lines at ``places`` (h, doc_id, line); only their documents' lines are read."""
     wanted = places.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("line", "h")).alias("at"))
-    met = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id") == F.col("_id"))
+    met = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.hint("merge"), F.col("doc_id") == F.col("_id"))
     rows = met.select(F.split("text", "\n", -1).alias("parts"), "at").select("parts", F.explode("at").alias("p"))
     rows = rows.select(F.col("p.h").alias("h"), F.get("parts", F.col("p.line")).alias("raw"))
     return rows.filter("raw is not null").select("h", _codes(F.col("raw")).alias("words")).dropDuplicates(["h"])
@@ -151,14 +163,15 @@ def deduplicate(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     they keep or lose a line together. All columns of ``docs`` stay; an empty
     table stays empty. Nodes are told apart by 64-bit hashes.
     """
-    gone = removed_lines(docs, settings).select(F.col("doc_id").alias("_id"), F.col("gone").alias("_gone"))
-    parts = F.split("text", "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
-    found = docs.join(gone, docs["doc_id"] == gone["_id"], "left")
-    lines_in = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
-    others = [docs[c] for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
-    return found.select(*others, text.alias("text"), lines_in.alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
+    gone = removed_lines(docs, settings).select(F.col("doc_id").alias("__gone_id"), F.col("gone").alias("__gone"))
+    others = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
+    # The lines are cut before the join, so that what picks some of them does not cut them again for each.
+    split = docs.select(*others, F.split("text", "\n", -1).alias("__lines"))
+    found = split.join(gone.hint("merge"), F.col("doc_id") == F.col("__gone_id"), "left")
+    kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
+    chosen = F.when(F.col("__gone").isNull(), F.col("__lines")).otherwise(F.transform(kept, lambda i: F.get("__lines", i)))
+    text = F.when(F.col("__lines").isNotNull(), F.array_join(chosen, "\n"))
+    return found.select(*others, text.alias("text"), F.greatest(F.lit(0), F.coalesce(F.size("__lines"), F.lit(0))).cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def without_repeated_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:

@@ -80,7 +80,7 @@ def line_rows():
     return rows + [(900, text, *rows[0][2:]), (901, more, *rows[0][2:]), (902, base, *rows[0][2:])]
 
 
-@pytest.mark.parametrize("settings", [lines.Settings(), lines.Settings(pair_bucket=1), lines.Settings(fuzzy_words=10)])
+@pytest.mark.parametrize("settings", [lines.Settings(), lines.Settings(pair_bucket=1), lines.Settings(fuzzy_words=100, similarity=0.95)])
 def test_line_groups(spark, settings):
     rows = line_rows()
     docs = odd.frame(spark, rows)
@@ -93,7 +93,7 @@ def test_line_groups(spark, settings):
     for i, a in enumerate(names):
         for b in names[:i]:
             if sims[a] is not None and sims[b] is not None and ((sims[a] ^ sims[b]) & (2**64 - 1)).bit_count() <= 3:
-                k = int(0.1 * max(len(words[a]), len(words[b])) + 1e-9)
+                k = int((1 - settings.similarity) * max(len(words[a]), len(words[b])) + 1e-9)
                 if abs(len(words[a]) - len(words[b])) <= k and edits(words[a], words[b]) <= k:
                     join(a, b)
     first = {}
