@@ -37,7 +37,7 @@ def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -33,7 +33,7 @@ class Settings:
     """
 
     width: int = 50
-    gram: int = 16
+    gram: int = 22
     shard_bytes: int = 1 << 16
     merge_bytes: int = 1 << 18
     group_stretches: int = 4096
@@ -111,12 +111,11 @@ def stretches(docs: DataFrame, shared: DataFrame, s: Settings) -> DataFrame:
         for b in batches:
             ids, cls, wanted = b.column("doc_id"), b.column("cls"), b.column("anchors")
             for a, part, offsets, row, h, first, last in _runs(b, s):
-                starts = np.searchsorted(row, np.arange(len(offsets)))
-                keep = np.zeros(len(row), bool)
-                for r in range(len(offsets) - 1):
-                    x, y = starts[r], starts[r + 1]
-                    keep[x:y] = np.isin(h[x:y].view(np.int64), wanted[a + r].values.to_numpy())
-                on, data = np.flatnonzero(keep), part.tobytes()
+                rows_of = wanted.slice(a, len(offsets) - 1)
+                many = np.diff(np.frombuffer(rows_of.buffers()[1], np.int32)[rows_of.offset : rows_of.offset + len(rows_of) + 1])
+                mine = mix(np.arange(len(offsets) - 1, dtype=np.uint64) + np.uint64(1))
+                sought = rows_of.flatten().to_numpy().view(np.uint64) ^ np.repeat(mine, many)
+                on, data = np.flatnonzero(np.isin(h ^ mine[row], sought)), part.tobytes()
                 for k in range(0, len(on), 20_000):
                     some = on[k : k + 20_000]
                     texts = [data[x : y + s.width] for x, y in zip(first[some].tolist(), last[some].tolist(), strict=True)]
@@ -159,34 +158,28 @@ def merge(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]], pads: list[in
     the symbols before the suffixes in merged order and sorts them stably, which
     gives the interleave ordered by one symbol more; only the shards' numbers
     move, each shard's own order stands. Neighbours differ if their symbols do
-    or if what follows them did.
+    or if what follows them did. Suffixes without a symbol before them sort
+    first and fall out; as many empty suffixes stand in front.
     """
-    sizes = [len(x[2]) for x in shards]
-    symbols = np.concatenate([x[2] for x in shards])
-    source = np.repeat(np.arange(len(shards)), sizes).astype(np.uint8 if len(shards) < 256 else np.uint16)
-    first = np.repeat(np.arange(len(shards)), pads).astype(source.dtype)
-    # At the start no symbol has been compared: the empty suffixes in front, then the rest.
-    inside = np.concatenate([np.arange(n) >= k for n, k in zip(sizes, pads, strict=True)])
-    z = np.concatenate([first, source[inside]])
-    block = np.zeros(len(z), np.int64)
-    differs = np.zeros(len(z), bool)
-    merged = np.empty(len(z), np.uint16)
+    first = np.repeat(np.arange(len(shards)), pads).astype(np.uint8 if len(shards) < 256 else np.uint16)
+    rest = np.repeat(np.arange(len(shards)), [len(x[2]) - k for x, k in zip(shards, pads, strict=True)]).astype(first.dtype)
+    front, symbols = len(first), np.concatenate([x[2] for x in shards])
+    z = np.concatenate([first, rest])
+    block, merged, differs = np.zeros(len(z), np.int32), np.empty(len(z), np.uint16), np.zeros(len(z), bool)
     for _ in range(width // 2):
         merged[np.argsort(z, kind="stable")] = symbols
-        on = np.flatnonzero(merged > 0)
-        order = on[np.argsort(merged[on], kind="stable")]
-        z = np.concatenate([first, z[order]])
+        order = np.argsort(merged, kind="stable")[front:]
+        z[front:] = z[order]
         s, b = merged[order], block[order]
-        differs = np.zeros(len(z), bool)
-        differs[0] = True
-        differs[len(first)] = True
-        differs[len(first) + 1 :] = (s[1:] != s[:-1]) | (b[1:] != b[:-1])
-        block = np.cumsum(differs)
+        differs[0] = differs[front] = True
+        np.not_equal(s[1:], s[:-1], out=differs[front + 1 :])
+        differs[front + 1 :] |= b[1:] != b[:-1]
+        np.cumsum(differs, out=block)
     return z, differs
 
 
-def first_documents(texts: list[bytes], docs: np.ndarray, s: Settings) -> list[np.ndarray]:
-    """For each text, the smallest of ``docs`` that has the window at each position."""
+def first_documents(texts: list[bytes], docs: np.ndarray, s: Settings) -> np.ndarray:
+    """For the windows of each text in turn, the smallest of ``docs`` that has the window."""
     shards, pads, members, at = [], [], [], 0
     while at < len(texts):
         end, size = at, 0
@@ -198,29 +191,33 @@ def first_documents(texts: list[bytes], docs: np.ndarray, s: Settings) -> list[n
         members.append(at)
         at = end
     z, differs = merge(shards, pads, s.width)
-    place = np.argsort(z, kind="stable")
-    text = np.concatenate([t + m for (t, _, _), m in zip(shards, members, strict=True)])
-    position = np.concatenate([p for _, p, _ in shards])
     lengths = np.array([len(t) for t in texts])
-    merged_text, merged_position = np.empty(len(z), np.int64), np.empty(len(z), np.int64)
-    merged_text[place], merged_position[place] = text, position
-    window = merged_position + s.width <= lengths[merged_text]
-    value = np.where(window, docs[merged_text], np.iinfo(np.int64).max)
+    text, position = np.empty(len(z), np.int64), np.empty(len(z), np.int64)
+    for k, ((t, p, _), m) in enumerate(zip(shards, members, strict=True)):
+        mine = z == k
+        text[mine], position[mine] = t + m, p
+    window = position + s.width <= lengths[text]
+    value = np.where(window, docs[text], np.iinfo(np.int64).max)
     begins = np.flatnonzero(differs)
     least = np.repeat(np.minimum.reduceat(value, begins), np.diff(np.append(begins, len(z))))
-    out = [np.empty(n - s.width + 1, np.int64) for n in lengths]
     base = np.concatenate([[0], np.cumsum(lengths - s.width + 1)])
-    flat = np.empty(base[-1], np.int64)
-    flat[base[merged_text[window]] + merged_position[window]] = least[window]
-    for i in range(len(out)):
-        out[i] = flat[base[i] : base[i + 1]]
+    out = np.empty(base[-1], np.int64)
+    out[base[text[window]] + position[window]] = least[window]
     return out
 
 
-def _as_runs(first: np.ndarray) -> list[dict]:
-    cut = np.flatnonzero(np.append(True, first[1:] != first[:-1]))
-    ends = np.append(cut[1:], len(first))
-    return [{"a": int(a), "z": int(z), "first": int(first[a])} for a, z in zip(cut, ends, strict=True)]
+def _runs_of(sizes: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Lists of (a, z, first): for each text, runs of windows with the same first document."""
+    base = np.concatenate([[0], np.cumsum(sizes)])
+    cut = np.ones(len(first), bool)
+    cut[1:] = first[1:] != first[:-1]
+    cut[base[:-1]] = True
+    at = np.flatnonzero(cut)
+    owner = np.searchsorted(base, at, "right") - 1
+    ends = np.append(at[1:], len(first))
+    fields = [pa.array((at - base[owner]).astype(np.int32)), pa.array((ends - base[owner]).astype(np.int32)), pa.array(first[at])]
+    offsets = np.searchsorted(owner, np.arange(len(sizes) + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(fields, ["a", "z", "first"]))
 
 
 def _merged(distinct: DataFrame, s: Settings) -> DataFrame:
@@ -233,15 +230,15 @@ def _merged(distinct: DataFrame, s: Settings) -> DataFrame:
         def close(rows):
             """Runs of whole anchors; a stretch alone with its anchor has nothing to be merged with."""
             anchor = np.array([r[0] for r in rows])
-            cuts = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1])) if len(rows) else []
-            alone = np.zeros(len(rows), bool)
-            for x, y in zip(cuts, np.append(cuts[1:], len(rows)).astype(int), strict=True):
-                alone[x] = y - x == 1
-            many = [r for r, one in zip(rows, alone, strict=True) if not one]
-            firsts = iter(first_documents([r[2] for r in many], np.array([r[3] for r in many], np.int64), s) if many else [])
-            runs = [[{"a": 0, "z": len(r[2]) - s.width + 1, "first": r[3]}] if one else _as_runs(next(firsts)) for r, one in zip(rows, alone, strict=True)]
-            kind = pa.list_(pa.struct([("a", pa.int32()), ("z", pa.int32()), ("first", pa.int64())]))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(runs, kind)], ["anchor", "key", "runs"])
+            cuts = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
+            group = np.diff(np.append(cuts, len(rows)))
+            alone = np.repeat(group == 1, group)
+            sizes = np.array([len(r[2]) - s.width + 1 for r in rows])
+            docs = np.array([r[3] for r in rows], np.int64)
+            first = np.repeat(docs, sizes)
+            if not alone.all():
+                first[np.repeat(~alone, sizes)] = first_documents([r[2] for r, one in zip(rows, alone, strict=True) if not one], docs[~alone], s)
+            return pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array([r[1] for r in rows], pa.int64()), _runs_of(sizes, first)], ["anchor", "key", "runs"])
 
         for b in batches:
             for r in zip(*(b.column(c).to_pylist() for c in ("anchor", "key", "bytes", "first")), strict=True):
