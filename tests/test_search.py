@@ -185,3 +185,22 @@ def test_sql_functions(spark):
     row = spark.sql("SELECT peptide_mass('ACK') AS m, round(hyperscore(3L, 2L, 100L, 200L), 6) AS h, fragment_bin(10000000000L, 1, 100) AS b, expect_tailfit(array(1, 2, 3, 9), array(50L, 20L, 5L, 1L), 76L, 9) AS e").first()
     assert row.m == WATER_E8 + sum(MASS_E8[c] for c in "ACK") and row.b == 10100
     assert row.e > 0
+
+
+def test_command_line(spark, tmp_path, entries):
+    from spectraloom import cli
+
+    heads, peaks, _ = _self(entries)
+    by: dict = {}
+    for r in peaks.collect():
+        by.setdefault(r.spectrum_id, []).append(f"{(r.bin + 0.5) / 100} {r.intensity}")
+    mass = {r.entry_id: r.mass_e8 / 1e8 for r in entries.collect()}
+    (tmp_path / "pep").mkdir(), (tmp_path / "ms2").mkdir()
+    (tmp_path / "pep" / "all.peps").write_text("\n".join(SEQS))
+    (tmp_path / "ms2" / "a.ms2").write_text("".join(f"S\t{i}\t{i}\t1\nZ\t2\t{mass[i]}\n" + "\n".join(v) + "\n" for i, v in sorted(by.items())))
+    args = ["--peptides", str(tmp_path / "pep"), "--min-hits", "1", "--dm", "300", "--expect-max", "1e12", "--mods", "M:15.99:1"]
+    cli.main(["estimate", *args])
+    cli.main(["search", *args, "--spectra", str(tmp_path / "ms2"), "--out", f"file://{tmp_path}/out"])
+    rows = tables.read_report(spark, f"file://{tmp_path}/out").collect()
+    assert all(r.file == "a.ms2" and r.peptide in SEQS for r in rows)
+    assert cli.params_of(cli.parser().parse_args(["estimate", "--peptides", "x", "--policy", "chunk"])).policy.value == "chunk"
