@@ -83,10 +83,8 @@ def gumbel_density(x: np.ndarray, mu: float, beta: float) -> np.ndarray:
     return np.exp(-(z + np.exp(-z))) / beta
 
 
-def gumbel_expect(counts: np.ndarray, hits: int, top: int, steps: int = 6000, rate: float = 0.12, stop: float = 1e-3) -> float:
-    """Expect value under a Gumbel density fitted to the smoothed histogram by gradient descent."""
-    if top <= 0 or hits <= 0:
-        return float("nan")
+def _gumbel_target(counts: np.ndarray, top: int) -> tuple[int, np.ndarray, float]:
+    """First bin, mixed raw and smoothed shares from it on, and where the fit starts."""
     counts = np.asarray(counts, float)
     start, end = _span(counts, top)
     raw = np.concatenate([counts, np.zeros(max(0, end + 1 - len(counts)))])[start : end + 1]
@@ -94,20 +92,47 @@ def gumbel_expect(counts: np.ndarray, hits: int, top: int, steps: int = 6000, ra
     width -= 1 - width % 2
     smooth = savgol(raw, width, min(5, width - 1)) if width >= 3 and len(raw) > width else raw.copy()
     smooth = np.maximum(smooth, 0)
-    norm = lambda v: v / v.sum() if v.sum() > 0 else v
-    target = 0.35 * norm(smooth) + 0.65 * norm(raw)
-    x = np.arange(start, end + 1, dtype=float)
-    mu, beta = start + (int(np.argmax(raw)) + int(np.argmax(smooth))) / 2, 4.0
+    share = lambda v: v / v.sum() if v.sum() > 0 else v
+    return start, 0.35 * share(smooth) + 0.65 * share(raw), start + (int(np.argmax(raw)) + int(np.argmax(smooth))) / 2
+
+
+def gumbel_expect_many(rows: list[tuple], steps: int = 6000, rate: float = 0.12, stop: float = 1e-3) -> np.ndarray:
+    """Expect values of (counts, hits, top) rows under Gumbel densities, all fitted at once by gradient descent; NaN without a tail."""
+    out = np.full(len(rows), np.nan)
+    at = [i for i, (_, hits, top) in enumerate(rows) if top > 0 and hits > 0]
+    if not at:
+        return out
+    made = [_gumbel_target(rows[i][0], rows[i][2]) for i in at]
+    widest = max(len(t) for _, t, _ in made)
+    target, x, real = (np.zeros((len(at), widest)) for _ in range(3))
+    for i, (start, t, _) in enumerate(made):
+        target[i, : len(t)], real[i, : len(t)] = t, 1.0
+        x[i] = start + np.arange(widest)
+    mu, beta = np.array([m for _, _, m in made]), np.full(len(at), 4.0)
+    live = np.arange(len(at))
     for _ in range(steps):
-        z = (x - mu) / beta
-        e = np.exp(-np.clip(z, -50, 50))
-        p = np.exp(-(np.clip(z, -50, 50) + e)) / beta
-        gap = p - target
-        if (gap * gap).sum() < stop:
+        b = beta[live, None]
+        z = np.clip((x[live] - mu[live, None]) / b, -50, 50)
+        e = np.exp(-z)
+        p = np.exp(-(z + e)) / b * real[live]
+        gap = p - target[live]
+        going = (gap * gap).sum(1) >= stop
+        slope = 2 * gap * p * beta[live, None]
+        step_mu = (slope * (1 - e)).sum(1)
+        step_beta = (slope * (z * (1 - e) - 1)).sum(1)
+        mu[live] -= np.where(going, rate * step_mu, 0)
+        beta[live] = np.where(going, np.maximum(0.1, beta[live] - rate * step_beta), beta[live])
+        live = live[going]
+        if not len(live):
             break
-        mu -= rate * (2 * gap * p * (1 - e) / beta).sum() * beta**2
-        beta = max(0.1, beta - rate * (2 * gap * p * (z * (1 - e) - 1) / beta).sum() * beta**2)
-    return float(hits * gumbel_density(np.array([top]), mu, beta)[0])
+    for k, i in enumerate(at):
+        out[i] = rows[i][1] * gumbel_density(np.array([rows[i][2]]), mu[k], beta[k])[0]
+    return out
+
+
+def gumbel_expect(counts: np.ndarray, hits: int, top: int) -> float:
+    """Expect value of one histogram by a Gumbel fit."""
+    return float(gumbel_expect_many([(counts, hits, top)])[0])
 
 
 def dense(bins, counts) -> np.ndarray:
@@ -127,4 +152,4 @@ def expect_tailfit_udf(bins: pd.Series, counts: pd.Series, hits: pd.Series, top:
 @pandas_udf(DoubleType())
 def expect_gumbel_udf(bins: pd.Series, counts: pd.Series, hits: pd.Series, top: pd.Series) -> pd.Series:
     """expect_gumbel(bins array, counts array, hits, top bin)."""
-    return pd.Series([gumbel_expect(dense(b, c), int(n), int(t)) for b, c, n, t in zip(bins, counts, hits, top, strict=True)])
+    return pd.Series(gumbel_expect_many([(dense(b, c), int(n), int(t)) for b, c, n, t in zip(bins, counts, hits, top, strict=True)]))
