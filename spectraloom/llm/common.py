@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Text bytes that one numpy step works on; a longer text is a step of its own.
-CHUNK_BYTES = 1 << 20
+#: Text bytes that one numpy step works on (its arrays stay in a core's cache); a longer text is a step of its own.
+CHUNK_BYTES = 1 << 17
 
 
 #: Bytes of an Arrow batch between Spark and Python, so that a worker holds few texts at a time.

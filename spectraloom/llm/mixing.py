@@ -104,7 +104,7 @@ def mix(docs: DataFrame, seed: int = 7, block_tokens: int | None = None) -> tupl
     block = block_tokens or int(min(MOST_BLOCK_TOKENS, max(1, total // LEAST_SLOTS)))
     plan = schedule(by, block, math.ceil(total / block))
     rows = base.join(by.select(F.col("source").alias("_s"), "src", "source_size", "target"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    rows = rows.withColumn("key", F.xxhash64(F.lit(seed), "doc_id")).withColumn("bucket", F.shiftrightunsigned("key", 52))
+    rows = rows.withColumn("key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))).withColumn("bucket", F.substring("key", 1, 3))
     rows = running_sum(rows, "src", "bucket", ["key", "doc_id", "row"], "size", "start")
     laps = rows.filter("size > 0").select("row", "src", "size", F.posexplode(F.array(F.col("start"), F.col("start") + F.col("source_size"))).alias("epoch", "at"))
     blocks = laps.select("*", F.explode(F.sequence(F.expr(f"at div {block}"), F.expr(f"(at + size - 1) div {block}"))).alias("rank"))

@@ -34,8 +34,8 @@ class Settings:
 
     width: int = 50
     gram: int = 22
-    shard_bytes: int = 1 << 16
-    merge_bytes: int = 1 << 18
+    shard_bytes: int = 1 << 15
+    merge_bytes: int = 1 << 16
     group_stretches: int = 4096
 
 
