@@ -83,6 +83,11 @@ def gumbel_density(x: np.ndarray, mu: float, beta: float) -> np.ndarray:
     return np.exp(-(z + np.exp(-z))) / beta
 
 
+def merged_density(x: np.ndarray, models: list[tuple[float, float, float]]) -> np.ndarray:
+    """Sum of Gumbel curves (mu, beta, weight) of partial results."""
+    return sum((w * gumbel_density(x, m, b) for m, b, w in models), np.zeros(len(x)))
+
+
 def _gumbel_target(counts: np.ndarray, top: int) -> tuple[int, np.ndarray, float]:
     """First bin, mixed raw and smoothed shares from it on, and where the fit starts."""
     counts = np.asarray(counts, float)

@@ -19,6 +19,17 @@ def owner(policy: Policy, key: str, parts: int, total: int | None = None) -> Col
     return F.expr(f"cast(CASE WHEN ({key} div {parts}) % 2 = 0 THEN pmod({key}, {parts}) ELSE {parts - 1} - pmod({key}, {parts}) END as int)")
 
 
+def global_id(policy: Policy, local: str, part: str, parts: int, total: int | None = None) -> Column:
+    """The id that is the ``local``-th (from 0) of its partition: the inverse of ``owner``."""
+    if policy is Policy.CYCLIC:
+        return F.expr(f"{local} * {parts} + {part}")
+    if policy is Policy.CHUNK:
+        if not total:
+            raise ValueError("chunks need the number of rows")
+        return F.expr(f"{part} * {-(-total // parts)} + {local}")
+    return F.expr(f"{local} * {parts} + CASE WHEN {local} % 2 = 0 THEN {part} ELSE {parts - 1} - {part} END")
+
+
 def deal(df: DataFrame, policy: Policy, key: str, parts: int, total: int | None = None) -> DataFrame:
     """``df`` with part, physically partitioned by it."""
     return df.withColumn("part", owner(policy, key, parts, total)).repartition(parts, "part")

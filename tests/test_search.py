@@ -204,3 +204,29 @@ def test_command_line(spark, tmp_path, entries):
     rows = tables.read_report(spark, f"file://{tmp_path}/out").collect()
     assert all(r.file == "a.ms2" and r.peptide in SEQS for r in rows)
     assert cli.params_of(cli.parser().parse_args(["estimate", "--peptides", "x", "--policy", "chunk"])).policy.value == "chunk"
+
+
+def test_partition_policies_invert(spark):
+    from spectraloom.operators.distribute import global_id, owner, split_dataset
+    from spectraloom.params import Policy
+
+    rows = spark.range(23).withColumnRenamed("id", "k")
+    for policy in Policy:
+        parts: dict = {}
+        for r in rows.select("k", owner(policy, "k", 4, 23).alias("p")).orderBy("k").collect():
+            parts.setdefault(r.p, []).append(r.k)
+        flat = [(p, i, k) for p, ks in parts.items() for i, k in enumerate(ks)]
+        back = spark.createDataFrame(flat, "p int, i long, k long").select("k", global_id(policy, "i", "p", 4, 23).alias("g")).collect()
+        assert all(r.k == r.g for r in back) and sorted(k for _, _, k in flat) == list(range(23))
+    assert split_dataset(rows, "k", 3).count() == 23
+
+
+def test_ion_dumps(spark, tmp_path, entries):
+    ions = ion.matchable(ion.fragments(entries, P), P)
+    tables.write_ions(ions, f"file://{tmp_path}/csv")
+    tables.write_ions_libsvm(ions, f"file://{tmp_path}/svm")
+    assert spark.read.csv(f"file://{tmp_path}/csv", header=True).count() == ions.count()
+    lines = spark.read.text(f"file://{tmp_path}/svm").collect()
+    assert len(lines) == entries.count()
+    bins = [int(x.split(":")[0]) for x in lines[0].value.split()[1:]]
+    assert bins == sorted(set(bins))
