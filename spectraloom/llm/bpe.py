@@ -16,6 +16,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from spectraloom.llm.common import tidied
+
 #: Pieces whose encoding a worker keeps in each of two generations.
 CACHE_PIECES = 300_000
 
@@ -138,6 +140,12 @@ class Tokenizer:
         self._young[p] = found
         return found
 
+    def forget(self) -> None:
+        """Drop the older pieces, and all if the newer ones are many: a worker may do something else next."""
+        self._old = {}
+        if len(self._young) > CACHE_PIECES // 2:
+            self._young = {}
+
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids as text, SHA-256 of the decoded bytes."""
         get, missing = self._young.get, self._missing
@@ -156,6 +164,7 @@ def load(path: str, pattern: str) -> Tokenizer:
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, ids array<int>: the token ids of every whole text; a null or empty text has none."""
 
+    @tidied
     def work(batches):
         tok = load(path, pattern)
         for b in batches:
@@ -168,6 +177,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, decoded binary of rows (doc_id, ids); null ids decode to no bytes."""
 
+    @tidied
     def work(batches):
         tok = load(path, pattern)
         for b in batches:
@@ -185,6 +195,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     ``docs`` are not read.
     """
 
+    @tidied
     def work(batches):
         tok = load(path, pattern)
         for b in batches:
@@ -193,5 +204,6 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 x = tok.digest(t.as_py() or "")
                 n.append(x[0]), ids.append(x[1]), decoded.append(x[2])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        tok.forget()
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

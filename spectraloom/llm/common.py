@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
+import gc
 import tempfile
 import uuid
 
@@ -58,6 +61,28 @@ def bucket_of(col: str, mod: int):
     return F.crc32(F.col(col).cast("string")) % mod
 
 
+def hash_sample(df: DataFrame, key: str, rows: int, most: int) -> DataFrame:
+    """About ``most`` of the ``rows`` rows of ``df``, by the hash of a key; never more than twice as many, no sort."""
+    if rows > most:
+        df = df.filter(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int((1 << 30) * most / rows))
+    return df.limit(2 * most)
+
+
+def tidied(work):
+    """``work`` on Arrow batches; behind it, a worker that lives on gives memory back that it no longer uses."""
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 # --- words of many texts at once ---------------------------------------------
 
 _SPACE = np.zeros(256, bool)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spectraloom.llm import vectors
-from spectraloom.llm.common import stored
+from spectraloom.llm.common import hash_sample, stored, tidied
 
 
 @dataclass(frozen=True)
@@ -26,7 +26,7 @@ class Settings:
     """orderings, dims, bits: curves, directions and bits a direction of each.
     window: share of an ordering on either side of a query that it meets.
     ranges, range_rows: least key ranges of an ordering, and rows of a range on average.
-    sample: rows (of smallest id hash) that the grid and the ranges are fitted on; every row is indexed.
+    sample: rows (about; by id hash) that the grid and the ranges are fitted on; every row is indexed.
     """
 
     k: int = 10
@@ -110,9 +110,10 @@ def search(table: DataFrame, every: int, settings: Settings = Settings()) -> Dat
         return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     ranges = max(s.ranges, math.ceil(n / s.range_rows))
     reach = math.ceil(ranges * s.window)
-    sample = whole.orderBy(F.xxhash64("vec_id"), "vec_id").limit(s.sample).select("vec").toArrow().column("vec").combine_chunks()
+    sample = hash_sample(whole, "vec_id", n, s.sample).toArrow().sort_by("vec_id").column("vec").combine_chunks()
     curves = Curves(vectors.matrix(sample), ranges, s)
 
+    @tidied
     def place(batches):
         for b in batches:
             at = curves.ranges(vectors.matrix(b.column("vec"))) if b.num_rows else np.zeros((0, s.orderings), np.int64)

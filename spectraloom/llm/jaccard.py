@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spectraloom.llm.common import components, mix, release, shingles, steps, stored, text_buffer, word_hashes
+from spectraloom.llm.common import components, mix, release, shingles, steps, stored, text_buffer, tidied, word_hashes
 
 
 @dataclass(frozen=True)
@@ -59,6 +59,7 @@ def token_counts(docs: DataFrame, s: Settings) -> np.ndarray:
     size = 1 << s.counter_bits
     shift = np.uint64(64 - s.counter_bits)
 
+    @tidied
     def add(batches):
         total = np.zeros(size, np.int32)
         for b in batches:
@@ -68,6 +69,7 @@ def token_counts(docs: DataFrame, s: Settings) -> np.ndarray:
             lists = pa.FixedSizeListArray.from_arrays(pa.array(total), _CHUNK).cast(pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(size // _CHUNK)), lists], ["chunk", "n"])
 
+    @tidied
     def merge(batches):
         sums: dict[int, np.ndarray] = {}
         for b in batches:
@@ -96,6 +98,7 @@ def signatures(docs: DataFrame, counts: np.ndarray, s: Settings) -> DataFrame:
         order = (table[(h >> shift).astype(np.int64)].astype(np.uint64) << np.uint64(40)) | (mix(h) >> np.uint64(24))
         return h[np.argpartition(order, size - 1)[:size]] if size else h
 
+    @tidied
     def work(batches):
         table = sent.value
         for b in batches:
@@ -164,6 +167,7 @@ def linked(rows: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
     both = rows.hint("merge").join(texts, F.col("id") == F.col("_id")).select("g", "query", "id", "c", "text")
     both = both.repartition("g").sortWithinPartitions("g", "query", "id")
 
+    @tidied
     def work(batches):
         current, held, group = None, [], None
 

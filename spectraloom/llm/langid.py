@@ -16,6 +16,8 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spectraloom.llm.common import tidied
+
 #: Answer for a text without letters.
 UNDETERMINED = "und"
 _OTHER = re.compile(r"[\W\d_]+")
@@ -107,6 +109,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], settings: Settings
     other columns, whatever their names, are not read.
     """
 
+    @tidied
     def work(batches):
         model = Classifier(dictionaries, settings)
         for b in batches:
@@ -122,6 +125,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], settings: Settings
 def accepted(docs: DataFrame, dictionaries: dict[str, bytes], settings: Settings = Settings()) -> DataFrame:
     """The rows of ``docs``, all columns, whose text the classifier accepts; decided where the text is read."""
 
+    @tidied
     def work(batches):
         model = Classifier(dictionaries, settings)
         for b in batches:

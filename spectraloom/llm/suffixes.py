@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spectraloom.llm.common import _BYTE, _powers, mix, release, steps, stored, text_buffer
+from spectraloom.llm.common import _BYTE, _powers, mix, release, steps, stored, text_buffer, tidied
 
 
 @dataclass(frozen=True)
@@ -92,6 +92,7 @@ def _with_class(docs: DataFrame) -> DataFrame:
 def shared_anchors(docs: DataFrame, s: Settings) -> DataFrame:
     """cls, anchors (array<long>) of the texts that have an anchor which a different text has."""
 
+    @tidied
     def work(batches):
         for b in batches:
             cls = b.column("cls").to_numpy()
@@ -107,6 +108,7 @@ def shared_anchors(docs: DataFrame, s: Settings) -> DataFrame:
 def stretches(docs: DataFrame, shared: DataFrame, s: Settings) -> DataFrame:
     """anchor, doc_id, cls, at, bytes: the text around each shared anchor, from its first window to the end of its last."""
 
+    @tidied
     def work(batches):
         for b in batches:
             ids, cls, wanted = b.column("doc_id"), b.column("cls"), b.column("anchors")
@@ -223,6 +225,7 @@ def _runs_of(sizes: np.ndarray, first: np.ndarray) -> pa.Array:
 def _merged(distinct: DataFrame, s: Settings) -> DataFrame:
     """anchor, key, runs (array of windows a to z and the first document with them) of distinct stretches."""
 
+    @tidied
     def work(batches):
         held: list[tuple] = []
         size = 0
@@ -297,6 +300,7 @@ def remove(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     columns are not read.
     """
 
+    @tidied
     def work(batches):
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for b in batches:

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spectraloom.llm.common import tidied
+
 
 def valid(vectors: DataFrame, zero: bool) -> DataFrame:
     """vec_id, vec (array<double>) of rows without null or non-finite components.
@@ -42,6 +44,7 @@ def meet(rows: DataFrame, build: Callable, ask: Callable, schema: str) -> DataFr
     dealt = rows.select("g", "query", "id", "vec", "bound").repartition("g").sortWithinPartitions("g", "query", "id")
     names = [c.split()[0] for c in schema.split(", ")]
 
+    @tidied
     def work(batches: Iterator[pa.RecordBatch]):
         group, held, index = None, [], None
         for b in batches:
