@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spectraloom.llm.common import _BYTE, _powers, mix, release, steps, stored, text_buffer, tidied
+from spectraloom.llm.common import _BYTE, _powers, discard, mix, release, steps, stored, text_buffer, tidied
 
 
 @dataclass(frozen=True)
@@ -287,7 +287,9 @@ def repeated(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     whole = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("cls"), F.md5("text").alias("same"), F.octet_length("text").cast("long").alias("end"))
     copies = whole.join(whole.groupBy("same").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1"), "same").filter(f"doc_id > first and end >= {s.width}")
     cuts = cuts.union(copies.select("doc_id", "cls", F.lit(0).cast("long").alias("start"), "end"))
-    return stored(cuts.groupBy("doc_id", "cls").agg(F.collect_list(F.struct("start", "end")).alias("cuts")))
+    cuts = stored(cuts.groupBy("doc_id", "cls").agg(F.collect_list(F.struct("start", "end")).alias("cuts")))
+    discard(shared, found, distinct, large, runs)
+    return cuts
 
 
 def remove(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -322,5 +324,6 @@ def remove(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("cls"), "text")
     cut = repeated(docs, settings)
+    release(docs.sparkSession)
     met = rows.join(cut.hint("merge"), ["doc_id", "cls"], "left").select("doc_id", "text", "cuts")
     return met.mapInArrow(work, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
