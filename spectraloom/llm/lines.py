@@ -1,46 +1,44 @@
 """Fuzzy line deduplication, in DataFrame operations only.
 
 Lines are read as words of lower-cased letters and digits; lines of equal words
-are one node. A node's SimHash is the bitwise majority of the hashes of its
-words of five letters and more (short words are so common that they would make
-all lines alike).
-Nodes whose SimHashes differ in at most three bits agree in two of five bit
-blocks, which are the join keys; candidates are verified by their edit
-similarity in words. Of each connected group the first occurrence stays, every
-other one is removed.
+are one node. Two lines within k edits in words have all but ``shingle`` times k
+of their word shingles in common at places at most k apart, so they share one
+of the first ``shingle`` times k plus one of either, in any fixed order of all
+shingles (here most letters first, as long words are rare, then by hash).
+These prefixes are the join keys; candidates are verified by their edit
+similarity in words, so that every similar pair is found. Of each connected
+group the first occurrence stays, every other one is removed.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spectraloom.llm.common import components, release, stored
+from spectraloom.llm.common import components, discard, release, stored
 
-_LANES = 0x0001_0001_0001_0001
-#: (first bit, bits) of the five blocks.
-_BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+#: Bits of a shingle's place in a key; a place beyond them counts as the last.
+_PLACE_BITS = 20
+#: Bits of a shingle's hash, below its letters.
+_HASH_BITS = 37
 
 
 @dataclass(frozen=True)
 class Settings:
     """similarity: least 1 - edits / longer length, in words.
 
-    hamming: bits in which SimHashes may differ; five blocks allow up to 3.
-    long_word: letters of a word that the SimHash counts.
-    fuzzy_words: a line of more words is matched exactly only (its counters
-    would overflow, and edits of such lines are not computed). A line of so few
-    words that no edit is allowed has no similar lines and gets no SimHash.
-    pair_bucket: in a larger bucket of a block key, nodes are first tried
+    shingle: words of a shingle at most; as many as leave the shortest similar
+    lines one in common.
+    fuzzy_words: a line of more words is matched exactly only. A line of so few
+    words that no edit is allowed has no similar lines and gets no keys.
+    pair_bucket: in a larger bucket of a key, nodes are first tried
     against one leader, and only those left apart are paired.
     """
 
     similarity: float = 0.9
-    hamming: int = 3
-    long_word: int = 5
+    shingle: int = 3
     fuzzy_words: int = 16_000
     pair_bucket: int = 64
 
@@ -58,36 +56,61 @@ def _least_words(s: Settings) -> int:
     return next(n for n in range(1, 1 << 20) if any(m - n <= (allowed := int(m * (1 - s.similarity) + 1e-9)) and allowed > 0 for m in range(n, 2 * n + 2)))
 
 
+def _most_edits(n: int | Column, s: Settings):
+    """Most edits between a line of n words and any similar one."""
+    edits = n * ((1 - s.similarity) / s.similarity) + 1e-6
+    return F.floor(edits).cast("int") if isinstance(n, Column) else int(edits)
+
+
+def _shingle_words(s: Settings) -> int:
+    """Words of a shingle, such that similar lines of any length have one in common."""
+    least = _least_words(s)
+    return max(1, min(s.shingle, *(n // (_most_edits(n, s) + 1) for n in range(least, 40 * least))))
+
+
 def lines(docs: DataFrame, s: Settings) -> DataFrame:
-    """doc_id, line (from 0), h, sim of each line with a letter or digit; sim is null for a line of too few or too many words.
+    """doc_id, line (from 0), h, sim, n (words), keys of each line with a letter or digit.
 
-    Word hashes are added up in 16 longs of four 16-bit counters each, in the
-    task that reads the text; each line leaves it as one row. A counter is over
-    half if adding 0x3FFF less the half sets its bit 14.
+    sim is 0 for a line that may be similar to others, and null for one of too
+    few or too many words, which has no keys. A key holds a shingle in its high
+    bits and its place in the line in the low ones.
     """
+    q = _shingle_words(s)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
     rows = rows.select("doc_id", "line", words_of("raw").alias("words")).filter("size(words) > 0")
-    rows = rows.select("doc_id", "line", F.xxhash64("words").alias("h"), F.size("words").between(_least_words(s), s.fuzzy_words).alias("fuzzy"), "words")
-    words = rows.select("doc_id", "line", "h", "fuzzy", F.posexplode(F.when(F.col("fuzzy"), F.col("words")).otherwise(F.array(F.lit("")))).alias("i", "w"))
-    long = F.length("w") >= s.long_word
-    words = words.filter((F.col("i") == 0) | long).select("doc_id", "line", "h", "fuzzy", F.when(long, 1).otherwise(0).alias("one"), F.when(long, F.xxhash64("w")).otherwise(F.lit(0).cast("long")).alias("x"))
-    sums = words.groupBy("doc_id", "line", "h", "fuzzy").agg(F.sum("one").alias("n"), *(F.sum(F.shiftrightunsigned("x", j).bitwiseAND(_LANES)).alias(f"s{j}") for j in range(16)))
-    sums = sums.withColumn("half", (F.lit(0x3FFF) - F.expr("n div 2")) * F.lit(_LANES))
-    sim = F.lit(0).cast("long")
-    for j in range(16):
-        sim = sim.bitwiseOR(F.shiftleft(F.shiftrightunsigned(F.col(f"s{j}") + F.col("half"), 14).bitwiseAND(_LANES), j))
-    return sums.select("doc_id", "line", "h", F.when(F.col("fuzzy") & (F.col("n") > 0), sim).alias("sim"))
+    n = F.size("words")
+
+    def key(i: Column) -> Column:
+        words = [F.get("words", i + j) for j in range(q)]
+        letters = sum((F.length(w) for w in words[1:]), F.length(words[0]))
+        rare = F.shiftleft((F.lit(63) - F.least(letters, F.lit(63))).cast("long"), _HASH_BITS)
+        shingle = rare + F.xxhash64(*words).bitwiseAND((1 << _HASH_BITS) - 1)
+        return F.shiftleft(shingle, _PLACE_BITS) + F.least(i, F.lit((1 << _PLACE_BITS) - 1))
+
+    keys = F.slice(F.sort_array(F.transform(F.sequence(F.lit(0), n - q), key)), F.lit(1), _most_edits(n, s) * q + 1)
+    fuzzy = n.between(_least_words(s), s.fuzzy_words)
+    return rows.select("doc_id", "line", F.xxhash64("words").alias("h"), F.when(fuzzy, F.lit(0).cast("long")).alias("sim"), n.alias("n"), F.when(fuzzy, keys).alias("keys"))
 
 
 def keyed(nodes: DataFrame) -> DataFrame:
-    """``nodes`` (h, sim) with one row for each pair of blocks: key, h, sim."""
-    block = [F.shiftrightunsigned("sim", at).bitwiseAND((1 << bits) - 1) for at, bits in _BLOCKS]
-    keys = [F.lit(k << 26) + F.shiftleft(block[a], 13) + block[b] for k, (a, b) in enumerate(combinations(range(5), 2))]
-    return nodes.select(F.explode(F.array(*keys)).alias("key"), "h", "sim")
+    """``nodes`` (h, n, keys) with one row for each shingle: key, low, high (its first and last place), h, n."""
+    shingle = lambda k: F.shiftrightunsigned(k, _PLACE_BITS)
+    place = lambda k: k.bitwiseAND((1 << _PLACE_BITS) - 1).cast("int")
+    first = F.filter("keys", lambda k, i: (i == 0) | (shingle(k) != shingle(F.get("keys", i - 1))))
+    last = F.filter("keys", lambda k, i: (i == F.size("keys") - 1) | (shingle(k) != shingle(F.get("keys", i + 1))))
+    rows = nodes.select("h", "n", F.inline(F.arrays_zip(first.alias("first"), last.alias("last"))).alias("first", "last"))
+    return rows.select(shingle("first").alias("key"), place(F.col("first")).alias("low"), place(F.col("last")).alias("high"), "h", "n")
 
 
-def _close(s: Settings, a: str, b: str):
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= s.hamming
+def _allowed(s: Settings, a: str | Column, b: str | Column) -> Column:
+    """Edits that lines of ``a`` and ``b`` words may differ in."""
+    return F.floor(F.greatest(a, b) * F.lit(1 - s.similarity) + F.lit(1e-9)).cast("int")
+
+
+def _close(s: Settings, a: str, b: str) -> Column:
+    """Lengths, and places of a common shingle, that similar lines may have; of columns n, low, high that end in ``a`` and ``b``."""
+    na, nb = F.col(f"n{a}"), F.col(f"n{b}")
+    return F.greatest(F.abs(na - nb), F.col(f"low{a}") - F.col(f"high{b}"), F.col(f"low{b}") - F.col(f"high{a}")) <= _allowed(s, na, nb)
 
 
 def _codes(raw: Column) -> Column:
@@ -105,12 +128,15 @@ def _texts(docs: DataFrame, places: DataFrame) -> DataFrame:
     return rows.filter("raw is not null").select("h", _codes(F.col("raw")).alias("words")).dropDuplicates(["h"])
 
 
+def _similar(s: Settings, wa: str, wb: str) -> Column:
+    most = _allowed(s, F.length(wa), F.length(wb))
+    return F.when(F.abs(F.length(wa) - F.length(wb)) <= most, F.call_function("levenshtein", F.col(wa), F.col(wb), most).between(0, most)).otherwise(False)
+
+
 def verified(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     """Those of ``pairs`` (a, b) of line hashes whose ``texts`` reach the edit similarity."""
     x, y = texts.select(F.col("h").alias("a"), F.col("words").alias("wa")), texts.select(F.col("h").alias("b"), F.col("words").alias("wb"))
-    both = pairs.join(x, "a").join(y, "b").withColumn("na", F.length("wa")).withColumn("nb", F.length("wb"))
-    both = both.withColumn("most", F.floor(F.greatest("na", "nb") * F.lit(1 - s.similarity) + F.lit(1e-9)).cast("int")).filter(F.abs(F.col("na") - F.col("nb")) <= F.col("most"))
-    return both.filter("levenshtein(wa, wb, most) between 0 and most").select("a", "b")
+    return pairs.join(x, "a").join(y, "b").filter(_similar(s, "wa", "wb")).select("a", "b")
 
 
 def removed_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -121,22 +147,30 @@ def removed_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame
     for all lines' hashes, and once more for the candidates' words.
     """
     s = settings
-    every = stored(lines(docs, s))
+    wide = stored(lines(docs, s))
+    release(docs.sparkSession)
+    first = F.min(F.struct("doc_id", "line", "n", "keys"))
+    nodes = stored(wide.groupBy("h").agg(first.alias("at"), F.count("*").alias("n")).select("h", F.struct("at.doc_id", "at.line").alias("at"), "n", F.col("at.n").alias("words"), "at.keys"))
+    every = stored(wide.select("doc_id", "line", "h"))
+    discard(wide)
+    seen = stored(nodes.select("h", "at", "n"))
     release(docs.sparkSession)
-    seen = stored(every.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count("*").alias("n"), F.min("sim").alias("sim")))
     bucket = Window.partitionBy("key")
-    shared = keyed(seen.filter("sim is not null").select("h", "sim")).withColumn("c", F.count("*").over(bucket)).filter("c > 1")
+    shared = keyed(nodes.filter("keys is not null").select("h", F.col("words").alias("n"), "keys")).withColumn("c", F.count("*").over(bucket)).filter("c > 1")
     shared = stored(shared)
+    discard(nodes)
     release(docs.sparkSession)
     small, large = shared.filter(F.col("c") <= s.pair_bucket), shared.filter(F.col("c") > s.pair_bucket)
 
     def side(rows: DataFrame, name: str, *more: str) -> DataFrame:
-        return rows.select(F.col("key").alias(f"k{name}"), F.col("h").alias(name), F.col("sim").alias(f"s{name}"), *(F.col(c).alias(f"{c}{name}") for c in more))
+        return rows.select(F.col("key").alias(f"k{name}"), F.col("h").alias(name), *(F.col(c).alias(f"{c}{name}") for c in ("n", "low", "high", *more)))
 
-    meet = (F.col("ka") == F.col("kb")) & (F.col("a") < F.col("b")) & _close(s, "sa", "sb")
+    meet = (F.col("ka") == F.col("kb")) & (F.col("a") < F.col("b")) & _close(s, "a", "b")
     pairs = side(small, "a").join(side(small, "b"), meet).select("a", "b")
-    led = large.join(large.groupBy("key").agg(F.min(F.struct("h", "sim")).alias("lead")), "key").filter(F.col("h") > F.col("lead.h")).withColumn("ls", F.col("lead.sim")).filter(_close(s, "sim", "ls"))
-    pairs = stored(pairs.union(led.select(F.col("lead.h").alias("a"), F.col("h").alias("b"))).distinct())
+    lead = large.groupBy("key").agg(F.min(F.struct("h", "n", "low", "high")).alias("lead"))
+    led = side(large, "b").join(lead, F.col("kb") == F.col("key")).select("*", *(F.col(f"lead.{c}").alias(f"{c}a") for c in ("n", "low", "high")), F.col("lead.h").alias("a"))
+    led = led.filter((F.col("a") < F.col("b")) & _close(s, "a", "b")).select("a", "b")
+    pairs = stored(pairs.union(led).distinct())
     ids = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).union(large.select("h")).distinct()
     places = seen.select("h", F.col("at.doc_id").alias("doc_id"), F.col("at.line").alias("line")).join(ids, "h")
     texts = stored(_texts(docs, places))
@@ -144,9 +178,12 @@ def removed_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame
     links = stored(verified(pairs, texts, s))
     label = components(links)
     if not large.isEmpty():
-        apart = stored(large.join(label.withColumnRenamed("id", "h"), "h", "left").withColumn("component", F.coalesce("component", "h")))
-        more = side(apart, "a", "component").join(side(apart, "b", "component"), meet & (F.col("componenta") != F.col("componentb"))).select("a", "b").distinct()
-        links = stored(links.union(verified(more, texts, s)))
+        # Pairs are verified as they meet: lines that share a common shingle only are no rows.
+        apart = large.join(label.withColumnRenamed("id", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
+        apart = stored(apart.join(texts, "h"))
+        found = meet & (F.col("componenta") != F.col("componentb")) & _similar(s, "wordsa", "wordsb")
+        more = side(apart, "a", "component", "words").join(side(apart, "b", "component", "words"), found).select("a", "b").distinct()
+        links = stored(links.union(more))
         label = components(links)
     seen = seen.join(label.select(F.col("id").alias("h"), "component"), "h", "left").withColumn("component", F.coalesce("component", "h"))
     keep = seen.groupBy("component").agg(F.min("at").alias("keep"), F.sum("n").alias("all")).filter("all > 1")
