@@ -313,8 +313,8 @@ def mod_variant_mass(spark, sf_dir):
 
 _VARIANT_IONS = (
     _PLACED
-    + f""", few AS (SELECT * FROM kept WHERE length(seq) <= 8), m AS (SELECT seq, mods, mass_e8, list_transform(range(1, length(seq) + 1), lambda i: (CASE seq[i] {' '.join(f"WHEN '{a}' THEN {x}" for a, x in MASS_E8.items())} END)
-    + CASE WHEN list_contains(l, i * 10) THEN {_M} WHEN list_contains(l, i * 10 + 1) THEN {_S} ELSE 0 END) AS w FROM few),
+    + f""", m AS (SELECT seq, mods, mass_e8, list_transform(range(1, length(seq) + 1), lambda i: (CASE seq[i] {' '.join(f"WHEN '{a}' THEN {x}" for a, x in MASS_E8.items())} END)
+    + CASE WHEN list_contains(l, i * 10) THEN {_M} WHEN list_contains(l, i * 10 + 1) THEN {_S} ELSE 0 END) AS w FROM kept),
     c AS (SELECT seq, mods, mass_e8, w, unnest(range(1, length(seq))) AS pos FROM m),
     f AS (SELECT seq, mods, mass_e8, 0 AS is_y, pos, list_sum(w[1:pos]) AS x FROM c UNION ALL SELECT seq, mods, mass_e8, 1, pos, list_sum(w[length(seq) - pos + 1:length(seq)]) + {WATER_E8} FROM c)
     SELECT seq, mods, mass_e8, is_y, z, CAST(pos AS INTEGER) AS pos, CAST(((x + z * {PROTON_E8}) * 100) // (z * {UNIT}) AS INTEGER) AS bin FROM f, (VALUES (1), (2), (3)) AS zs(z)"""
@@ -323,8 +323,8 @@ _VARIANT_IONS = (
 
 @query(_with_parts(_VARIANT_IONS, "peps"))
 def mod_variant_ions(spark, sf_dir):
-    some = mods.variants(_peps(spark, sf_dir).filter("len <= 8"), MODS)
-    made = ion.fragments(some.withColumn("key", _mod_text()), P, ("seq", "key"))
+    every = mods.variants(_peps(spark, sf_dir), MODS)
+    made = ion.fragments(every.withColumn("key", _mod_text()), P, ("seq", "key"))
     return made.withColumnRenamed("key", "mods")
 
 
