@@ -184,8 +184,8 @@ def shingles(words: np.ndarray, width: int) -> np.ndarray:
 # --- connected components ----------------------------------------------------
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(id, component): for each id of ``edges`` (a, b) the smallest id it reaches.
+def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+    """(id, component): for each id of ``edges`` (a, b) the smallest id it reaches; an error if ``rounds`` do not settle it.
 
     Alternating large and small stars; each round is written to the shared
     folder, and hubs are pre-aggregated before each shuffle. Ids without an edge
@@ -211,10 +211,14 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     e = stored(e)
     last = summary(e)
     for _ in range(rounds if last[0] else 0):
-        e = stored(star(star(e, True), False))
+        before, e = e, stored(star(star(e, True), False))
         now = summary(e)
+        discard(before)
         if now == last:
             break
         last = now
+    else:
+        if last[0]:
+            raise RuntimeError(f"components are not settled after {rounds} rounds")
     roots = e.select(F.col("b").alias("id")).distinct()
     return e.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots.select("id", F.col("id").alias("component")))

@@ -1,20 +1,23 @@
 """Fuzzy line deduplication, in DataFrame operations only.
 
 Lines are read as words of lower-cased letters and digits; lines of equal words
-are one node. Two lines within k edits in words have all but ``shingle`` times k
-of their word shingles in common at places at most k apart, so they share one
-of the first ``shingle`` times k plus one of either, in any fixed order of all
-shingles (here most letters first, as long words are rare, then by hash).
-These prefixes are the join keys; candidates are verified by their edit
-similarity in words, so that every similar pair is found. Of each connected
-group the first occurrence stays, every other one is removed.
+are one node. Every edit of a word destroys at most ``shingle`` of a line's word
+shingles, so similar lines share one of the first few of either in any fixed
+order of all shingles (here most letters first, as long words are rare, then by
+hash). These first shingles are the join keys. A small bucket of a key is paired
+whole; in a large one every line meets a leader of its own key, and lines of
+what is still apart meet again under pairs of shingles drawn from the whole
+line. All candidates are verified by their edit similarity in words. Of each
+connected group the first occurrence stays, every other one is removed.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spectraloom.llm.common import components, discard, release, stored
@@ -31,16 +34,16 @@ class Settings:
 
     shingle: words of a shingle at most; as many as leave the shortest similar
     lines one in common.
-    fuzzy_words: a line of more words is matched exactly only. A line of so few
-    words that no edit is allowed has no similar lines and gets no keys.
-    pair_bucket: in a larger bucket of a key, nodes are first tried
-    against one leader, and only those left apart are paired.
+    miss: chance that two lines of just that similarity, edited at random
+    places, share none of their keys. Lines whose allowed edits cannot destroy
+    all of a line's keys (of up to 26 words by default) are never missed.
+    pair_bucket: in a larger bucket of a key, lines first meet a leader.
     """
 
     similarity: float = 0.9
     shingle: int = 3
-    fuzzy_words: int = 16_000
-    pair_bucket: int = 64
+    miss: float = 1e-4
+    pair_bucket: int = 16
 
 
 _GAP = r"[^\p{L}\p{N}]+"
@@ -68,16 +71,22 @@ def _shingle_words(s: Settings) -> int:
     return max(1, min(s.shingle, *(n // (_most_edits(n, s) + 1) for n in range(least, 40 * least))))
 
 
+def _most_keys(s: Settings) -> int:
+    """So many of the first shingles of a line are all destroyed with a chance of at most ``miss``."""
+    return math.ceil(math.log(s.miss) / math.log(1 - s.similarity ** _shingle_words(s)))
+
+
 def lines(docs: DataFrame, s: Settings) -> DataFrame:
-    """doc_id, line (from 0), h, sim, n (words), keys of each line with a letter or digit.
+    """doc_id, cls, line (from 0), h, n (words), keys of each line with a letter or digit.
 
-    sim is 0 for a line that may be similar to others, and null for one of too
-    few or too many words, which has no keys. A key holds a shingle in its high
-    bits and its place in the line in the low ones.
+    cls is a hash of the whole text and h one of the line's words. keys is null
+    for a line of so few words that no edit is allowed, which has no similar
+    lines. A key holds a shingle in its high bits and its place in the line in
+    the low ones.
     """
     q = _shingle_words(s)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
-    rows = rows.select("doc_id", "line", words_of("raw").alias("words")).filter("size(words) > 0")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("cls"), F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
+    rows = rows.select("doc_id", "cls", "line", words_of("raw").alias("words")).filter("size(words) > 0")
     n = F.size("words")
 
     def key(i: Column) -> Column:
@@ -87,18 +96,18 @@ def lines(docs: DataFrame, s: Settings) -> DataFrame:
         shingle = rare + F.xxhash64(*words).bitwiseAND((1 << _HASH_BITS) - 1)
         return F.shiftleft(shingle, _PLACE_BITS) + F.least(i, F.lit((1 << _PLACE_BITS) - 1))
 
-    keys = F.slice(F.sort_array(F.transform(F.sequence(F.lit(0), n - q), key)), F.lit(1), _most_edits(n, s) * q + 1)
-    fuzzy = n.between(_least_words(s), s.fuzzy_words)
-    return rows.select("doc_id", "line", F.xxhash64("words").alias("h"), F.when(fuzzy, F.lit(0).cast("long")).alias("sim"), n.alias("n"), F.when(fuzzy, keys).alias("keys"))
+    many = F.least(_most_edits(n, s) * q + 1, F.lit(_most_keys(s)))
+    keys = F.slice(F.sort_array(F.transform(F.sequence(F.lit(0), n - q), key)), F.lit(1), many)
+    return rows.select("doc_id", "cls", "line", F.xxhash64("words").alias("h"), n.alias("n"), F.when(n >= _least_words(s), keys).alias("keys"))
 
 
-def keyed(nodes: DataFrame) -> DataFrame:
-    """``nodes`` (h, n, keys) with one row for each shingle: key, low, high (its first and last place), h, n."""
+def keyed(found: DataFrame) -> DataFrame:
+    """``found`` (h, n, keys) with one row for each shingle: key, low, high (its first and last place), h, n."""
     shingle = lambda k: F.shiftrightunsigned(k, _PLACE_BITS)
     place = lambda k: k.bitwiseAND((1 << _PLACE_BITS) - 1).cast("int")
     first = F.filter("keys", lambda k, i: (i == 0) | (shingle(k) != shingle(F.get("keys", i - 1))))
     last = F.filter("keys", lambda k, i: (i == F.size("keys") - 1) | (shingle(k) != shingle(F.get("keys", i + 1))))
-    rows = nodes.select("h", "n", F.inline(F.arrays_zip(first.alias("first"), last.alias("last"))).alias("first", "last"))
+    rows = found.select("h", "n", F.inline(F.arrays_zip(first.alias("first"), last.alias("last"))).alias("first", "last"))
     return rows.select(shingle("first").alias("key"), place(F.col("first")).alias("low"), place(F.col("last")).alias("high"), "h", "n")
 
 
@@ -120,9 +129,10 @@ def _codes(raw: Column) -> Column:
 
 
 def _texts(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """h, words (coded) of the lines at ``places`` (h, doc_id, line); only their documents' lines are read."""
-    wanted = places.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("line", "h")).alias("at"))
-    met = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.hint("merge"), F.col("doc_id") == F.col("_id"))
+    """h, words (coded) of the lines at ``places`` (h, doc_id, cls, line); only their documents' lines are read."""
+    wanted = places.groupBy(F.col("doc_id").alias("_id"), F.col("cls").alias("_cls")).agg(F.collect_list(F.struct("line", "h")).alias("at"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("cls"), "text")
+    met = texts.join(wanted.hint("merge"), (F.col("cls") == F.col("_cls")) & F.col("doc_id").eqNullSafe(F.col("_id")))
     rows = met.select(F.split("text", "\n", -1).alias("parts"), "at").select("parts", F.explode("at").alias("p"))
     rows = rows.select(F.col("p.h").alias("h"), F.get("parts", F.col("p.line")).alias("raw"))
     return rows.filter("raw is not null").select("h", _codes(F.col("raw")).alias("words")).dropDuplicates(["h"])
@@ -139,79 +149,154 @@ def verified(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").filter(_similar(s, "wa", "wb")).select("a", "b")
 
 
+def _in_order(a: Column, b: Column) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _led(rows: DataFrame) -> DataFrame:
+    """Pairs of the lines of ``rows`` (key, h) with the leader of their key, which differs from key to key."""
+    leads = rows.groupBy("key").agg(F.min(F.col("h").bitwiseXOR(F.col("key"))).alias("m"))
+    met = rows.join(leads, "key").withColumn("lead", F.col("m").bitwiseXOR(F.col("key"))).filter("h <> lead")
+    return met.select(*_in_order(F.col("h"), F.col("lead")))
+
+
+def _grouped(label: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(id, component) of ``label`` after ``links`` between its components or new ids."""
+    if label is None:
+        return stored(components(links))
+    known = label.select(F.col("id").alias("k"), F.col("component").alias("c"))
+    for end in ("a", "b"):
+        links = links.join(known, F.col(end) == F.col("k"), "left").withColumn(end, F.coalesce("c", end)).drop("k", "c")
+    more = stored(components(links.filter("a <> b")))
+    new = more.select(F.col("id").alias("k"), F.col("component").alias("c"))
+    moved = label.join(new, F.col("component") == F.col("k"), "left").select("id", F.coalesce("c", "component").alias("component"))
+    return stored(moved.union(more.join(label, "id", "left_anti")))
+
+
+def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """``rows`` with the component of h, itself where it has no link; only keys with more than one component."""
+    rows = rows.drop("component").join(label.withColumnRenamed("id", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
+    apart = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
+    return rows.join(apart.select("key"), "key", "left_semi")
+
+
+def _finer(texts: DataFrame, s: Settings) -> DataFrame:
+    """h, n, subs of lines: hashes of the pairs among the first shingles of a line in the order of their hashes alone.
+
+    A line of so few distinct shingles that a similar one may share a single
+    one has each of them, too.
+    """
+    q, most = _shingle_words(s), _most_keys(s)
+    rows = texts.select("h", F.length("words").alias("n"), F.split("words", "").alias("w"))
+    shingle = lambda i: F.xxhash64(*(F.get("w", i + j) for j in range(q)))
+    rows = rows.select("h", "n", F.sort_array(F.array_distinct(F.transform(F.sequence(F.lit(0), F.col("n") - q), shingle))).alias("b"))
+    at = lambda i: F.get("b", F.lit(i))
+    both = [F.when(F.size("b") > j, F.xxhash64(at(i), at(j))) for i, j in combinations(range(most), 2)]
+    one = [F.when((F.size("b") > i) & (F.size("b") < most), F.xxhash64(at(i))) for i in range(most)]
+    return rows.select("h", "n", F.array_compact(F.array(*both, *one)).alias("subs"))
+
+
+def _across(rows: DataFrame, s: Settings) -> DataFrame:
+    """Pairs (a, b) of different components that share a key of ``rows`` (key, h, n, component, subs), each once.
+
+    In each key only lines outside its largest component are paired, with all
+    others; of the keys that a pair shares, the least one counts.
+    """
+    sizes = rows.groupBy("key", "component").agg(F.count("*").alias("c"))
+    main = sizes.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
+    rows = rows.join(main, "key")
+    side = lambda df, x: df.select(*(F.col(c).alias(c + x) for c in ("key", "h", "n", "component", "subs", "main")))
+    once = F.array_min(F.array_intersect("subsx", "subsy")) == F.col("keyx")
+    meet = (F.col("keyx") == F.col("keyy")) & (F.col("componentx") != F.col("componenty")) & ((F.col("componenty") == F.col("mainx")) | (F.col("hx") < F.col("hy")))
+    near = F.abs(F.col("nx") - F.col("ny")) <= _allowed(s, "nx", "ny")
+    met = side(rows.filter("component <> main"), "x").join(side(rows, "y"), meet & near & once)
+    return met.select(*_in_order(F.col("hx"), F.col("hy"))).distinct()
+
+
+def _groups(docs: DataFrame, wide: DataFrame, seen: DataFrame, s: Settings) -> DataFrame:
+    """(id, component) of the lines that have a link, by verified pairs of ``wide`` (the lines) and ``seen`` (h, at)."""
+    rows = keyed(wide.filter("keys is not null").select("h", "n", "keys"))
+    common = rows.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo < hi").select("key")
+    shared = stored(rows.join(common.hint("shuffle_hash"), "key").distinct())
+    release(docs.sparkSession)
+    sized = shared.join(shared.groupBy("key").agg(F.count("*").alias("c")), "key")
+    small, large = sized.filter(F.col("c") <= s.pair_bucket), stored(sized.filter(F.col("c") > s.pair_bucket).select("key", "h"))
+    side = lambda x: small.select(F.col("key").alias(f"k{x}"), F.col("h").alias(x), *(F.col(c).alias(f"{c}{x}") for c in ("n", "low", "high")))
+    pairs = side("a").join(side("b"), (F.col("ka") == F.col("kb")) & (F.col("a") < F.col("b")) & _close(s, "a", "b")).select("a", "b")
+    pairs = stored(pairs.union(_led(large)).distinct())
+    ids = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
+    places = seen.select("h", "at.*").join(ids, "h")
+    texts = stored(_texts(docs, places))
+    release(docs.sparkSession)
+    label = _grouped(None, verified(pairs, texts, s))
+    hot = stored(_labelled(large, label).select("h").distinct())
+    if not hot.isEmpty():
+        subs = stored(_finer(texts.join(hot, "h", "left_semi"), s))
+        finer = stored(_labelled(subs.select("h", "n", F.explode("subs").alias("key")), label))
+        sized = finer.join(finer.groupBy("key").agg(F.count("*").alias("c")), "key").join(subs.select("h", "subs"), "h")
+        many = F.col("c") > s.pair_bucket
+        found = _across(sized.filter(~many), s).union(_led(sized.filter(many))).distinct()
+        label = _grouped(label, verified(found, texts, s))
+        left = stored(_labelled(sized.filter(many), label))
+        if not left.isEmpty():
+            label = _grouped(label, verified(_across(left, s), texts, s))
+        discard(subs, finer, left)
+    discard(shared, large, pairs, texts, hot)
+    return label
+
+
 def removed_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """doc_id, gone (array of line numbers, ascending) of each document that loses lines.
+    """doc_id, cls, gone (array of line numbers, ascending) of each document that loses lines.
 
     Of each group of lines (of equal words, or connected by similar pairs) the
-    occurrence of smallest doc_id, then line, stays. The texts are read once
-    for all lines' hashes, and once more for the candidates' words.
+    occurrence of smallest doc_id (null first), then hash of the text, then
+    line, stays. The texts are read once for all lines' hashes, and once more
+    for the candidates' words.
     """
     s = settings
     wide = stored(lines(docs, s))
     release(docs.sparkSession)
-    first = F.min(F.struct("doc_id", "line", "n", "keys"))
-    nodes = stored(wide.groupBy("h").agg(first.alias("at"), F.count("*").alias("n")).select("h", F.struct("at.doc_id", "at.line").alias("at"), "n", F.col("at.n").alias("words"), "at.keys"))
-    every = stored(wide.select("doc_id", "line", "h"))
-    discard(wide)
-    seen = stored(nodes.select("h", "at", "n"))
-    release(docs.sparkSession)
-    bucket = Window.partitionBy("key")
-    shared = keyed(nodes.filter("keys is not null").select("h", F.col("words").alias("n"), "keys")).withColumn("c", F.count("*").over(bucket)).filter("c > 1")
-    shared = stored(shared)
-    discard(nodes)
-    release(docs.sparkSession)
-    small, large = shared.filter(F.col("c") <= s.pair_bucket), shared.filter(F.col("c") > s.pair_bucket)
-
-    def side(rows: DataFrame, name: str, *more: str) -> DataFrame:
-        return rows.select(F.col("key").alias(f"k{name}"), F.col("h").alias(name), *(F.col(c).alias(f"{c}{name}") for c in ("n", "low", "high", *more)))
-
-    meet = (F.col("ka") == F.col("kb")) & (F.col("a") < F.col("b")) & _close(s, "a", "b")
-    pairs = side(small, "a").join(side(small, "b"), meet).select("a", "b")
-    lead = large.groupBy("key").agg(F.min(F.struct("h", "n", "low", "high")).alias("lead"))
-    led = side(large, "b").join(lead, F.col("kb") == F.col("key")).select("*", *(F.col(f"lead.{c}").alias(f"{c}a") for c in ("n", "low", "high")), F.col("lead.h").alias("a"))
-    led = led.filter((F.col("a") < F.col("b")) & _close(s, "a", "b")).select("a", "b")
-    pairs = stored(pairs.union(led).distinct())
-    ids = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).union(large.select("h")).distinct()
-    places = seen.select("h", F.col("at.doc_id").alias("doc_id"), F.col("at.line").alias("line")).join(ids, "h")
-    texts = stored(_texts(docs, places))
-    release(docs.sparkSession)
-    links = stored(verified(pairs, texts, s))
-    label = components(links)
-    if not large.isEmpty():
-        # Pairs are verified as they meet: lines that share a common shingle only are no rows.
-        apart = large.join(label.withColumnRenamed("id", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
-        apart = stored(apart.join(texts, "h"))
-        found = meet & (F.col("componenta") != F.col("componentb")) & _similar(s, "wordsa", "wordsb")
-        more = side(apart, "a", "component", "words").join(side(apart, "b", "component", "words"), found).select("a", "b").distinct()
-        links = stored(links.union(more))
-        label = components(links)
-    seen = seen.join(label.select(F.col("id").alias("h"), "component"), "h", "left").withColumn("component", F.coalesce("component", "h"))
-    keep = seen.groupBy("component").agg(F.min("at").alias("keep"), F.sum("n").alias("all")).filter("all > 1")
-    repeated = seen.join(keep.select("component", "keep"), "component").select("h", "keep")
-    gone = every.join(repeated, "h").filter((F.col("doc_id") != F.col("keep.doc_id")) | (F.col("line") != F.col("keep.line")))
-    return stored(gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("gone")))
+    seen = stored(wide.groupBy("h").agg(F.min(F.struct("doc_id", "cls", "line")).alias("at"), F.count("*").alias("n")))
+    label = _groups(docs, wide, seen, s)
+    every = seen.join(label.withColumnRenamed("id", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
+    keep = every.groupBy("component").agg(F.min("at").alias("keep"), F.sum("n").alias("all")).filter("all > 1")
+    repeated = every.join(keep.select("component", "keep"), "component").select("h", "keep")
+    gone = wide.select("doc_id", "cls", "line", "h").join(repeated, "h").filter(~F.struct("doc_id", "cls", "line").eqNullSafe(F.col("keep")))
+    gone = stored(gone.groupBy("doc_id", "cls").agg(F.array_sort(F.collect_set("line")).alias("gone")))
+    discard(wide, seen, label)
+    return gone
+
+
+def _cut(docs: DataFrame, settings: Settings) -> DataFrame:
+    """The columns of ``docs``, text less its removed lines, __n_lines, __n_removed."""
+    gone = removed_lines(docs, settings).select(F.col("doc_id").alias("__gone_id"), F.col("cls").alias("__gone_cls"), F.col("gone").alias("__gone"))
+    others = [c for c in docs.columns if c != "text"]
+    # The lines are cut before the join, so that what picks some of them does not cut them again for each.
+    split = docs.select(*others, F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__cls"), F.split("text", "\n", -1).alias("__lines"))
+    found = split.join(gone.hint("merge"), (F.col("__cls") == F.col("__gone_cls")) & F.col("__id").eqNullSafe(F.col("__gone_id")), "left")
+    kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
+    chosen = F.when(F.col("__gone").isNull(), F.col("__lines")).otherwise(F.transform(kept, lambda i: F.get("__lines", i)))
+    text = F.when(F.col("__lines").isNotNull(), F.array_join(chosen, "\n"))
+    count = lambda c: F.greatest(F.lit(0), F.coalesce(F.size(c), F.lit(0))).cast("long")
+    return found.select(*(text.alias(c) if c == "text" else c for c in docs.columns), count("__lines").alias("__n_lines"), count("__gone").alias("__n_removed"))
 
 
 def deduplicate(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``docs`` with ``text`` less its removed lines, and n_lines, n_removed.
 
     Lines end at a line feed. Lines without a letter or digit stay, as does a
-    null text (no lines). Rows that repeat a doc_id hold the same positions:
-    they keep or lose a line together. All columns of ``docs`` stay; an empty
-    table stays empty. Nodes are told apart by 64-bit hashes.
+    null text (no lines). A line is known by its document's id and text: rows
+    that repeat an id with another text keep lines of their own, rows that
+    repeat both are one document. A null doc_id is an id. A line of any length
+    is one. All columns of ``docs`` stay, but input columns of the names n_lines
+    and n_removed give way; an empty table stays empty. Nodes are told apart by
+    64-bit hashes.
     """
-    gone = removed_lines(docs, settings).select(F.col("doc_id").alias("__gone_id"), F.col("gone").alias("__gone"))
-    others = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
-    # The lines are cut before the join, so that what picks some of them does not cut them again for each.
-    split = docs.select(*others, F.split("text", "\n", -1).alias("__lines"))
-    found = split.join(gone.hint("merge"), F.col("doc_id") == F.col("__gone_id"), "left")
-    kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
-    chosen = F.when(F.col("__gone").isNull(), F.col("__lines")).otherwise(F.transform(kept, lambda i: F.get("__lines", i)))
-    text = F.when(F.col("__lines").isNotNull(), F.array_join(chosen, "\n"))
-    return found.select(*others, text.alias("text"), F.greatest(F.lit(0), F.coalesce(F.size("__lines"), F.lit(0))).cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"))
+    done = _cut(docs, settings)
+    return done.select(*(c for c in docs.columns if c not in ("n_lines", "n_removed")), F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"))
 
 
 def without_repeated_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``docs`` without repeated lines, same columns; a document that lost all lines with a letter or digit is dropped."""
-    done = deduplicate(docs, settings).filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[\p{L}\p{N}]"))
+    done = _cut(docs, settings).filter((F.col("__n_removed") == 0) | F.col("text").rlike(r"[\p{L}\p{N}]"))
     return done.select(*docs.columns)

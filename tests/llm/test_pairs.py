@@ -80,22 +80,20 @@ def line_rows():
     return rows + [(900, text, *rows[0][2:]), (901, more, *rows[0][2:]), (902, base, *rows[0][2:])]
 
 
-@pytest.mark.parametrize("settings", [lines.Settings(), lines.Settings(pair_bucket=1), lines.Settings(fuzzy_words=100, similarity=0.95)])
+@pytest.mark.parametrize("settings", [lines.Settings(), lines.Settings(pair_bucket=1), lines.Settings(similarity=0.95)])
 def test_line_groups(spark, settings):
     rows = line_rows()
     docs = odd.frame(spark, rows)
     every = lines.lines(docs, settings).collect()
     text = {r[0]: r[1] for r in rows}
     words = {r.h: line_words(text[r.doc_id].split("\n")[r.line]) for r in every}
-    sims = {r.h: r.sim for r in every}
     find, join = union_find(words)
     names = sorted(words)
     for i, a in enumerate(names):
         for b in names[:i]:
-            if sims[a] is not None and sims[b] is not None and ((sims[a] ^ sims[b]) & (2**64 - 1)).bit_count() <= 3:
-                k = int((1 - settings.similarity) * max(len(words[a]), len(words[b])) + 1e-9)
-                if abs(len(words[a]) - len(words[b])) <= k and edits(words[a], words[b]) <= k:
-                    join(a, b)
+            k = int((1 - settings.similarity) * max(len(words[a]), len(words[b])) + 1e-9)
+            if abs(len(words[a]) - len(words[b])) <= k and edits(words[a], words[b]) <= k:
+                join(a, b)
     first = {}
     for r in sorted({(r.doc_id, r.line, r.h) for r in every}):
         first.setdefault(find(r[2]), r[:2])
@@ -110,7 +108,7 @@ def test_line_groups(spark, settings):
     assert got[0].key == "k"
 
 
-def test_simhash_groups_near_lines(spark):
+def test_near_lines_are_grouped(spark):
     got = {r.doc_id: r for r in lines.deduplicate(odd.frame(spark, line_rows())).collect()}
     assert got[900].text.split("\n")[0].startswith("w0 ") and got[902].text == ""
 
