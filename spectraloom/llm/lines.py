@@ -1,19 +1,18 @@
 """Fuzzy line deduplication, in DataFrame operations only.
 
 Lines are read as words of lower-cased letters and digits; lines of equal words
-are one node. Every edit of a word destroys at most ``shingle`` of a line's word
-shingles, so similar lines share one of the first few of either in any fixed
-order of all shingles (here most letters first, as long words are rare, then by
-hash). These first shingles are the join keys. A small bucket of a key is paired
-whole; in a large one every line meets a leader of its own key, and lines of
-what is still apart meet again under pairs of shingles drawn from the whole
-line. All candidates are verified by their edit similarity in words. Of each
-connected group the first occurrence stays, every other one is removed.
+are one node. Few edits leave most of a line's rarest words (here those of most
+bytes, then by hash) alone, so two similar lines have at least two words in
+common among the first few of either: pairs of those are the join keys. A small
+bucket of a key is paired whole; in a large one every line meets a leader of its
+own key, and lines of what is still apart meet again under pairs of word
+shingles drawn from the whole line. All candidates are verified by their edit
+similarity in words. Of each connected group the first occurrence stays, every
+other one is removed.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -22,27 +21,28 @@ from pyspark.sql import functions as F
 
 from spectraloom.llm.common import components, discard, release, stored
 
-#: Bits of a shingle's place in a key; a place beyond them counts as the last.
-_PLACE_BITS = 20
-#: Bits of a shingle's hash, below its letters.
-_HASH_BITS = 37
+#: Words that similar lines have in common to meet.
+_COMMON = 2
+#: Bits of a word's hash, below its negative length (so that most bytes come first, up to 64 of them).
+_HASH_BITS = 57
 
 
 @dataclass(frozen=True)
 class Settings:
     """similarity: least 1 - edits / longer length, in words.
 
-    shingle: words of a shingle at most; as many as leave the shortest similar
-    lines one in common.
+    shingle: words of a shingle at most, for lines of large buckets; as many as
+    leave the shortest similar lines one in common.
     miss: chance that two lines of just that similarity, edited at random
-    places, share none of their keys. Lines whose allowed edits cannot destroy
-    all of a line's keys (of up to 26 words by default) are never missed.
+    places, share no key, for the rarest words of either. Lines that so few
+    edits separate that two of these words must be left (of up to 29 words by
+    default) always share one.
     pair_bucket: in a larger bucket of a key, lines first meet a leader.
     """
 
     similarity: float = 0.9
     shingle: int = 3
-    miss: float = 1e-4
+    miss: float = 5e-3
     pair_bucket: int = 16
 
 
@@ -59,10 +59,9 @@ def _least_words(s: Settings) -> int:
     return next(n for n in range(1, 1 << 20) if any(m - n <= (allowed := int(m * (1 - s.similarity) + 1e-9)) and allowed > 0 for m in range(n, 2 * n + 2)))
 
 
-def _most_edits(n: int | Column, s: Settings):
+def _most_edits(n: int, s: Settings) -> int:
     """Most edits between a line of n words and any similar one."""
-    edits = n * ((1 - s.similarity) / s.similarity) + 1e-6
-    return F.floor(edits).cast("int") if isinstance(n, Column) else int(edits)
+    return int(n * ((1 - s.similarity) / s.similarity) + 1e-6)
 
 
 def _shingle_words(s: Settings) -> int:
@@ -71,9 +70,17 @@ def _shingle_words(s: Settings) -> int:
     return max(1, min(s.shingle, *(n // (_most_edits(n, s) + 1) for n in range(least, 40 * least))))
 
 
-def _most_keys(s: Settings) -> int:
-    """So many of the first shingles of a line are all destroyed with a chance of at most ``miss``."""
-    return math.ceil(math.log(s.miss) / math.log(1 - s.similarity ** _shingle_words(s)))
+def _enough(kept: float, miss: float) -> int:
+    """The least m such that of m items, each left with chance ``kept``, fewer than two are left with a chance of at most ``miss``."""
+    return next(m for m in range(_COMMON, 1 << 20) if (1 - kept) ** m + m * kept * (1 - kept) ** (m - 1) <= miss)
+
+
+def _pairs_of(items: str, most: int) -> Column:
+    """Hashes of all pairs of the first ``most`` of the distinct ``items``; if these are fewer, of each of them, too."""
+    at = lambda i: F.get(items, F.lit(i))
+    both = [F.when(F.size(items) > j, F.xxhash64(at(i), at(j))) for i, j in combinations(range(most), _COMMON)]
+    one = [F.when((F.size(items) > i) & (F.size(items) < most), F.xxhash64(at(i))) for i in range(most - 1)]
+    return F.array_compact(F.array(*both, *one))
 
 
 def lines(docs: DataFrame, s: Settings) -> DataFrame:
@@ -81,34 +88,16 @@ def lines(docs: DataFrame, s: Settings) -> DataFrame:
 
     cls is a hash of the whole text and h one of the line's words. keys is null
     for a line of so few words that no edit is allowed, which has no similar
-    lines. A key holds a shingle in its high bits and its place in the line in
-    the low ones.
+    lines.
     """
-    q = _shingle_words(s)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("cls"), F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
-    rows = rows.select("doc_id", "cls", "line", words_of("raw").alias("words")).filter("size(words) > 0")
-    n = F.size("words")
-
-    def key(i: Column) -> Column:
-        words = [F.get("words", i + j) for j in range(q)]
-        letters = sum((F.length(w) for w in words[1:]), F.length(words[0]))
-        rare = F.shiftleft((F.lit(63) - F.least(letters, F.lit(63))).cast("long"), _HASH_BITS)
-        shingle = rare + F.xxhash64(*words).bitwiseAND((1 << _HASH_BITS) - 1)
-        return F.shiftleft(shingle, _PLACE_BITS) + F.least(i, F.lit((1 << _PLACE_BITS) - 1))
-
-    many = F.least(_most_edits(n, s) * q + 1, F.lit(_most_keys(s)))
-    keys = F.slice(F.sort_array(F.transform(F.sequence(F.lit(0), n - q), key)), F.lit(1), many)
-    return rows.select("doc_id", "cls", "line", F.xxhash64("words").alias("h"), n.alias("n"), F.when(n >= _least_words(s), keys).alias("keys"))
-
-
-def keyed(found: DataFrame) -> DataFrame:
-    """``found`` (h, n, keys) with one row for each shingle: key, low, high (its first and last place), h, n."""
-    shingle = lambda k: F.shiftrightunsigned(k, _PLACE_BITS)
-    place = lambda k: k.bitwiseAND((1 << _PLACE_BITS) - 1).cast("int")
-    first = F.filter("keys", lambda k, i: (i == 0) | (shingle(k) != shingle(F.get("keys", i - 1))))
-    last = F.filter("keys", lambda k, i: (i == F.size("keys") - 1) | (shingle(k) != shingle(F.get("keys", i + 1))))
-    rows = found.select("h", "n", F.inline(F.arrays_zip(first.alias("first"), last.alias("last"))).alias("first", "last"))
-    return rows.select(shingle("first").alias("key"), place(F.col("first")).alias("low"), place(F.col("last")).alias("high"), "h", "n")
+    code = lambda w: F.shiftleft(-F.octet_length(w).cast("long"), _HASH_BITS) + F.shiftrightunsigned(F.xxhash64(w), 64 - _HASH_BITS)
+    coded = lambda raw: F.array_remove(F.transform(F.split(F.lower(raw), _GAP), code), code(F.lit("")))
+    # The words of all lines are coded before lines become rows, so that a filter on rows codes none again.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("cls"), F.posexplode(F.transform(F.split("text", "\n", -1), coded)).alias("line", "words"))
+    most = _enough(s.similarity, s.miss)
+    first = F.when(F.size("words") >= _least_words(s), F.slice(F.array_distinct(F.slice(F.sort_array("words"), 1, 4 * most)), 1, most))
+    rows = rows.filter("size(words) > 0").select("doc_id", "cls", "line", F.xxhash64("words").alias("h"), F.size("words").alias("n"), first.alias("first"))
+    return rows.select("doc_id", "cls", "line", "h", "n", F.when(F.col("first").isNotNull(), _pairs_of("first", most)).alias("keys"))
 
 
 def _allowed(s: Settings, a: str | Column, b: str | Column) -> Column:
@@ -116,16 +105,15 @@ def _allowed(s: Settings, a: str | Column, b: str | Column) -> Column:
     return F.floor(F.greatest(a, b) * F.lit(1 - s.similarity) + F.lit(1e-9)).cast("int")
 
 
-def _close(s: Settings, a: str, b: str) -> Column:
-    """Lengths, and places of a common shingle, that similar lines may have; of columns n, low, high that end in ``a`` and ``b``."""
-    na, nb = F.col(f"n{a}"), F.col(f"n{b}")
-    return F.greatest(F.abs(na - nb), F.col(f"low{a}") - F.col(f"high{b}"), F.col(f"low{b}") - F.col(f"high{a}")) <= _allowed(s, na, nb)
+def _near(s: Settings, a: str, b: str) -> Column:
+    """Lengths, in columns ``a`` and ``b``, that similar lines may have."""
+    return F.abs(F.col(a) - F.col(b)) <= _allowed(s, a, b)
 
 
 def _codes(raw: Column) -> Column:
-    """A line with each word as one character (a hashed code point above the basic plane), for edit distances in words."""
-    code = lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(0x100000)) + F.lit(0x10000)), 8, "0")
-    return F.decode(F.unhex(F.array_join(F.transform(words_of(raw), code), "")), "UTF-32")
+    """A line with each word as one character (a hashed code point of five hexadecimal digits), for edit distances in words."""
+    code = lambda w: F.hex(F.pmod(F.xxhash64(w), F.lit(0xF0000)) + F.lit(0x10000))
+    return F.decode(F.unhex(F.concat(F.lit("000"), F.array_join(F.transform(words_of(raw), code), "000"))), "UTF-32")
 
 
 def _texts(docs: DataFrame, places: DataFrame) -> DataFrame:
@@ -181,19 +169,13 @@ def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
 
 
 def _finer(texts: DataFrame, s: Settings) -> DataFrame:
-    """h, n, subs of lines: hashes of the pairs among the first shingles of a line in the order of their hashes alone.
-
-    A line of so few distinct shingles that a similar one may share a single
-    one has each of them, too.
-    """
-    q, most = _shingle_words(s), _most_keys(s)
+    """h, n, subs of lines: hashes of the pairs among the first shingles of a line in the order of their hashes."""
+    q = _shingle_words(s)
+    most = _enough(s.similarity**q, s.miss)
     rows = texts.select("h", F.length("words").alias("n"), F.split("words", "").alias("w"))
     shingle = lambda i: F.xxhash64(*(F.get("w", i + j) for j in range(q)))
-    rows = rows.select("h", "n", F.sort_array(F.array_distinct(F.transform(F.sequence(F.lit(0), F.col("n") - q), shingle))).alias("b"))
-    at = lambda i: F.get("b", F.lit(i))
-    both = [F.when(F.size("b") > j, F.xxhash64(at(i), at(j))) for i, j in combinations(range(most), 2)]
-    one = [F.when((F.size("b") > i) & (F.size("b") < most), F.xxhash64(at(i))) for i in range(most)]
-    return rows.select("h", "n", F.array_compact(F.array(*both, *one)).alias("subs"))
+    rows = rows.select("h", "n", F.slice(F.sort_array(F.array_distinct(F.transform(F.sequence(F.lit(0), F.col("n") - q), shingle))), 1, most).alias("first"))
+    return rows.select("h", "n", _pairs_of("first", most).alias("subs"))
 
 
 def _across(rows: DataFrame, s: Settings) -> DataFrame:
@@ -208,24 +190,23 @@ def _across(rows: DataFrame, s: Settings) -> DataFrame:
     side = lambda df, x: df.select(*(F.col(c).alias(c + x) for c in ("key", "h", "n", "component", "subs", "main")))
     once = F.array_min(F.array_intersect("subsx", "subsy")) == F.col("keyx")
     meet = (F.col("keyx") == F.col("keyy")) & (F.col("componentx") != F.col("componenty")) & ((F.col("componenty") == F.col("mainx")) | (F.col("hx") < F.col("hy")))
-    near = F.abs(F.col("nx") - F.col("ny")) <= _allowed(s, "nx", "ny")
-    met = side(rows.filter("component <> main"), "x").join(side(rows, "y"), meet & near & once)
+    met = side(rows.filter("component <> main"), "x").join(side(rows, "y"), meet & _near(s, "nx", "ny") & once)
     return met.select(*_in_order(F.col("hx"), F.col("hy"))).distinct()
 
 
-def _groups(docs: DataFrame, wide: DataFrame, seen: DataFrame, s: Settings) -> DataFrame:
-    """(id, component) of the lines that have a link, by verified pairs of ``wide`` (the lines) and ``seen`` (h, at)."""
-    rows = keyed(wide.filter("keys is not null").select("h", "n", "keys"))
+def _groups(docs: DataFrame, wide: DataFrame, s: Settings) -> DataFrame:
+    """(id, component) of the lines of ``wide`` that have a link, by verified pairs."""
+    rows = wide.filter("keys is not null").select("h", "n", F.explode("keys").alias("key"))
     common = rows.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo < hi").select("key")
     shared = stored(rows.join(common.hint("shuffle_hash"), "key").distinct())
     release(docs.sparkSession)
     sized = shared.join(shared.groupBy("key").agg(F.count("*").alias("c")), "key")
     small, large = sized.filter(F.col("c") <= s.pair_bucket), stored(sized.filter(F.col("c") > s.pair_bucket).select("key", "h"))
-    side = lambda x: small.select(F.col("key").alias(f"k{x}"), F.col("h").alias(x), *(F.col(c).alias(f"{c}{x}") for c in ("n", "low", "high")))
-    pairs = side("a").join(side("b"), (F.col("ka") == F.col("kb")) & (F.col("a") < F.col("b")) & _close(s, "a", "b")).select("a", "b")
+    side = lambda x: small.select(F.col("key").alias(f"k{x}"), F.col("h").alias(x), F.col("n").alias(f"n{x}"))
+    pairs = side("a").join(side("b"), (F.col("ka") == F.col("kb")) & (F.col("a") < F.col("b")) & _near(s, "na", "nb")).select("a", "b")
     pairs = stored(pairs.union(_led(large)).distinct())
     ids = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
-    places = seen.select("h", "at.*").join(ids, "h")
+    places = wide.select("h", "doc_id", "cls", "line").join(ids, "h").dropDuplicates(["h"])
     texts = stored(_texts(docs, places))
     release(docs.sparkSession)
     label = _grouped(None, verified(pairs, texts, s))
@@ -256,14 +237,19 @@ def removed_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame
     s = settings
     wide = stored(lines(docs, s))
     release(docs.sparkSession)
-    seen = stored(wide.groupBy("h").agg(F.min(F.struct("doc_id", "cls", "line")).alias("at"), F.count("*").alias("n")))
-    label = _groups(docs, wide, seen, s)
+    label = _groups(docs, wide, s)
+    number = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id")
+    seen = wide.groupBy("h").agg(F.min(number).alias("first"), F.count("*").alias("n"))
     every = seen.join(label.withColumnRenamed("id", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
-    keep = every.groupBy("component").agg(F.min("at").alias("keep"), F.sum("n").alias("all")).filter("all > 1")
-    repeated = every.join(keep.select("component", "keep"), "component").select("h", "keep")
-    gone = wide.select("doc_id", "cls", "line", "h").join(repeated, "h").filter(~F.struct("doc_id", "cls", "line").eqNullSafe(F.col("keep")))
+    every = stored(every)
+    repeated = every.groupBy("component").agg(F.min("first").alias("keep"), F.sum("n").alias("all")).filter("all > 1")
+    met = wide.select("doc_id", "cls", "line", "h", number).join(every.join(repeated, "component").select("h", "component", "keep"), "h")
+    met = stored(met.select("doc_id", "cls", "line", "component", (F.col("id") == F.col("keep")).alias("home")))
+    place = F.struct("cls", "line")
+    kept = met.filter("home").groupBy("component").agg(F.min(place).alias("at"))
+    gone = met.join(kept, "component").filter(~F.col("home") | (place != F.col("at")))
     gone = stored(gone.groupBy("doc_id", "cls").agg(F.array_sort(F.collect_set("line")).alias("gone")))
-    discard(wide, seen, label)
+    discard(wide, label, every, met)
     return gone
 
 
