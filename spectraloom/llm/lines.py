@@ -5,9 +5,10 @@ are one node. Few edits leave most of a line's rarest words (here those of most
 bytes, then by hash) alone, so two similar lines have at least two words in
 common among the first few of either: pairs of those are the join keys. A small
 bucket of a key is paired whole; in a large one every line meets a leader of its
-own key, and lines of what is still apart meet again under pairs of word
-shingles drawn from the whole line. All candidates are verified by their edit
-similarity in words. Of each connected group the first occurrence stays, every
+own key. Lines of what is then still apart meet again under their rarest words,
+by the counts among such lines: of these similar lines share enough whatever the
+edits, while lines that have just a frequent passage in common do not meet. All candidates are verified by their
+edit similarity in words. Of each connected group the first occurrence stays, every
 other one is removed.
 """
 
@@ -31,19 +32,18 @@ _HASH_BITS = 57
 class Settings:
     """similarity: least 1 - edits / longer length, in words.
 
-    shingle: words of a shingle at most, for lines of large buckets; as many as
-    leave the shortest similar lines one in common.
-    miss: chance that two lines of just that similarity, edited at random
-    places, share no key, for the rarest words of either. Lines that so few
+    miss: chance that of the first words of a line too few are left in one of
+    just that similarity, edited at random places. Lines that so few
     edits separate that two of these words must be left (of up to 29 words by
     default) always share one.
     pair_bucket: in a larger bucket of a key, lines first meet a leader.
+    pair_words: longest lines that meet by pairs of words in what is left.
     """
 
     similarity: float = 0.9
-    shingle: int = 3
     miss: float = 5e-3
     pair_bucket: int = 16
+    pair_words: int = 64
 
 
 _GAP = r"[^\p{L}\p{N}]+"
@@ -59,15 +59,10 @@ def _least_words(s: Settings) -> int:
     return next(n for n in range(1, 1 << 20) if any(m - n <= (allowed := int(m * (1 - s.similarity) + 1e-9)) and allowed > 0 for m in range(n, 2 * n + 2)))
 
 
-def _most_edits(n: int, s: Settings) -> int:
+def _most_edits(n: int | Column, s: Settings):
     """Most edits between a line of n words and any similar one."""
-    return int(n * ((1 - s.similarity) / s.similarity) + 1e-6)
-
-
-def _shingle_words(s: Settings) -> int:
-    """Words of a shingle, such that similar lines of any length have one in common."""
-    least = _least_words(s)
-    return max(1, min(s.shingle, *(n // (_most_edits(n, s) + 1) for n in range(least, 40 * least))))
+    edits = n * ((1 - s.similarity) / s.similarity) + 1e-6
+    return F.floor(edits).cast("int") if isinstance(n, Column) else int(edits)
 
 
 def _enough(kept: float, miss: float) -> int:
@@ -116,14 +111,17 @@ def _codes(raw: Column) -> Column:
     return F.decode(F.unhex(F.concat(F.lit("000"), F.array_join(F.transform(words_of(raw), code), "000"))), "UTF-32")
 
 
+def _number(doc_id: str = "doc_id") -> Column:
+    """The id as a join key: null is the least number."""
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))
+
+
 def _texts(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """h, words (coded) of the lines at ``places`` (h, doc_id, cls, line); only their documents' lines are read."""
-    wanted = places.groupBy(F.col("doc_id").alias("_id"), F.col("cls").alias("_cls")).agg(F.collect_list(F.struct("line", "h")).alias("at"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("cls"), "text")
-    met = texts.join(wanted.hint("merge"), (F.col("cls") == F.col("_cls")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    rows = met.select(F.split("text", "\n", -1).alias("parts"), "at").select("parts", F.explode("at").alias("p"))
-    rows = rows.select(F.col("p.h").alias("h"), F.get("parts", F.col("p.line")).alias("raw"))
-    return rows.filter("raw is not null").select("h", _codes(F.col("raw")).alias("words")).dropDuplicates(["h"])
+    """h, words (coded) of the lines at ``places`` (h, id, cls, line), each h once; only their documents' lines are read."""
+    wanted = places.groupBy("id", "cls").agg(F.collect_list(F.struct("line", "h")).alias("at"))
+    met = docs.select(_number().alias("id"), F.xxhash64("text").alias("cls"), "text").join(wanted.hint("merge"), ["id", "cls"])
+    rows = met.dropDuplicates(["id", "cls"]).select(F.split("text", "\n", -1).alias("parts"), "at").select("parts", F.explode("at").alias("p"))
+    return rows.select(F.col("p.h").alias("h"), _codes(F.get("parts", F.col("p.line"))).alias("words"))
 
 
 def _similar(s: Settings, wa: str, wb: str) -> Column:
@@ -168,30 +166,49 @@ def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
     return rows.join(apart.select("key"), "key", "left_semi")
 
 
-def _finer(texts: DataFrame, s: Settings) -> DataFrame:
-    """h, n, subs of lines: hashes of the pairs among the first shingles of a line in the order of their hashes."""
-    q = _shingle_words(s)
-    most = _enough(s.similarity**q, s.miss)
-    rows = texts.select("h", F.length("words").alias("n"), F.split("words", "").alias("w"))
-    shingle = lambda i: F.xxhash64(*(F.get("w", i + j) for j in range(q)))
-    rows = rows.select("h", "n", F.slice(F.sort_array(F.array_distinct(F.transform(F.sequence(F.lit(0), F.col("n") - q), shingle))), 1, most).alias("first"))
-    return rows.select("h", "n", _pairs_of("first", most).alias("subs"))
+def _rarest(texts: DataFrame, s: Settings) -> DataFrame:
+    """h, n, subs of lines: hashes that similar lines of ``texts`` share one of, whatever the edits.
 
-
-def _across(rows: DataFrame, s: Settings) -> DataFrame:
-    """Pairs (a, b) of different components that share a key of ``rows`` (key, h, n, component, subs), each once.
-
-    In each key only lines outside its largest component are paired, with all
-    others; of the keys that a pair shares, the least one counts.
+    Of the distinct words, in order of their counts among these lines, the first
+    k + 2 of lines at most k edits apart have two in common: a line of up to
+    ``pair_words`` words (and as many more as similar ones may have) has their
+    pairs, and if they are fewer each word. A longer one has the first 2k + 1 of
+    its runs of two words, of which an edit destroys two.
+    """
+    rows = texts.select("h", F.length("words").alias("n"), F.split("words", "").alias("w"))
+    short, long = F.col("n") <= s.pair_words / s.similarity, F.col("n") >= s.pair_words
+    runs = F.transform(F.sequence(F.lit(0), F.col("n") - 2), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1)))
+    kinds = [F.when(short, F.struct(F.lit(True).alias("words"), F.transform("w", lambda x: F.xxhash64(x)).alias("of"))), F.when(long, F.struct(F.lit(False).alias("words"), runs.alias("of")))]
+    rows = rows.select("h", "n", F.inline(F.array_compact(F.array(*kinds))))
+    rows = stored(rows.select("h", "n", "words", F.explode(F.array_distinct("of")).alias("item")))
+    counted = rows.join(rows.groupBy("words", "item").agg(F.count("*").alias("c")), ["words", "item"])
+    found = counted.groupBy("h", "n", "words").agg(F.sort_array(F.collect_list(F.struct("c", "item"))).alias("all"))
+    most = _most_edits(F.col("n"), s)
+    found = found.select("h", "n", "words", F.transform(F.slice("all", F.lit(1), F.when(F.col("words"), most + 2).otherwise(2 * most + 1)), lambda x: x["item"]).alias("first"), most.alias("most"))
+    both = F.flatten(F.transform("first", lambda x, i: F.transform(F.slice("first", i + 2, F.size("first")), lambda y: F.xxhash64(x, y))))
+    subs = F.when(~F.col("words"), F.col("first")).when(F.size("first") < F.col("most") + 2, F.concat(both, "first")).otherwise(both)
+    subs = stored(found.select("h", "n", subs.alias("subs")).groupBy("h", "n").agg(F.flatten(F.collect_list("subs")).alias("subs")))
+    discard(rows)
+    return subs
+
+
+def _across(rows: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+    """Similar pairs (a, b) of different components that share a key of ``rows`` (key, h, n, component, subs).
+
+    In each key only lines outside its largest component are compared, with all
+    others; of the keys that a pair shares, the least one counts. Texts are
+    compared where the lines meet, so that no pair travels to its texts.
     """
     sizes = rows.groupBy("key", "component").agg(F.count("*").alias("c"))
     main = sizes.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
-    rows = rows.join(main, "key")
-    side = lambda df, x: df.select(*(F.col(c).alias(c + x) for c in ("key", "h", "n", "component", "subs", "main")))
+    rows = stored(rows.join(main, "key").join(texts, "h"))
+    side = lambda df, x: df.select(*(F.col(c).alias(c + x) for c in ("key", "h", "n", "component", "subs", "main", "words")))
     once = F.array_min(F.array_intersect("subsx", "subsy")) == F.col("keyx")
     meet = (F.col("keyx") == F.col("keyy")) & (F.col("componentx") != F.col("componenty")) & ((F.col("componenty") == F.col("mainx")) | (F.col("hx") < F.col("hy")))
-    met = side(rows.filter("component <> main"), "x").join(side(rows, "y"), meet & _near(s, "nx", "ny") & once)
-    return met.select(*_in_order(F.col("hx"), F.col("hy"))).distinct()
+    met = side(rows.filter("component <> main"), "x").join(side(rows, "y"), meet & _near(s, "nx", "ny") & once & _similar(s, "wordsx", "wordsy"))
+    links = stored(met.select(*_in_order(F.col("hx"), F.col("hy"))).distinct())
+    discard(rows)
+    return links
 
 
 def _groups(docs: DataFrame, wide: DataFrame, s: Settings) -> DataFrame:
@@ -206,21 +223,18 @@ def _groups(docs: DataFrame, wide: DataFrame, s: Settings) -> DataFrame:
     pairs = side("a").join(side("b"), (F.col("ka") == F.col("kb")) & (F.col("a") < F.col("b")) & _near(s, "na", "nb")).select("a", "b")
     pairs = stored(pairs.union(_led(large)).distinct())
     ids = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
-    places = wide.select("h", "doc_id", "cls", "line").join(ids, "h").dropDuplicates(["h"])
+    places = wide.select("h", _number().alias("id"), "cls", "line").join(ids, "h").dropDuplicates(["h"])
     texts = stored(_texts(docs, places))
     release(docs.sparkSession)
     label = _grouped(None, verified(pairs, texts, s))
     hot = stored(_labelled(large, label).select("h").distinct())
     if not hot.isEmpty():
-        subs = stored(_finer(texts.join(hot, "h", "left_semi"), s))
+        subs = _rarest(texts.join(hot, "h", "left_semi"), s)
         finer = stored(_labelled(subs.select("h", "n", F.explode("subs").alias("key")), label))
-        sized = finer.join(finer.groupBy("key").agg(F.count("*").alias("c")), "key").join(subs.select("h", "subs"), "h")
-        many = F.col("c") > s.pair_bucket
-        found = _across(sized.filter(~many), s).union(_led(sized.filter(many))).distinct()
-        label = _grouped(label, verified(found, texts, s))
-        left = stored(_labelled(sized.filter(many), label))
+        label = _grouped(label, verified(_led(finer).distinct(), texts, s))
+        left = stored(_labelled(finer, label).join(subs.select("h", "subs"), "h"))
         if not left.isEmpty():
-            label = _grouped(label, verified(_across(left, s), texts, s))
+            label = _grouped(label, _across(left, texts, s))
         discard(subs, finer, left)
     discard(shared, large, pairs, texts, hot)
     return label
@@ -238,7 +252,7 @@ def removed_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame
     wide = stored(lines(docs, s))
     release(docs.sparkSession)
     label = _groups(docs, wide, s)
-    number = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id")
+    number = _number().alias("id")
     seen = wide.groupBy("h").agg(F.min(number).alias("first"), F.count("*").alias("n"))
     every = seen.join(label.withColumnRenamed("id", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
     every = stored(every)
@@ -255,11 +269,11 @@ def removed_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame
 
 def _cut(docs: DataFrame, settings: Settings) -> DataFrame:
     """The columns of ``docs``, text less its removed lines, __n_lines, __n_removed."""
-    gone = removed_lines(docs, settings).select(F.col("doc_id").alias("__gone_id"), F.col("cls").alias("__gone_cls"), F.col("gone").alias("__gone"))
+    gone = removed_lines(docs, settings).select(_number().alias("__gone_id"), F.col("cls").alias("__gone_cls"), F.col("gone").alias("__gone"))
     others = [c for c in docs.columns if c != "text"]
     # The lines are cut before the join, so that what picks some of them does not cut them again for each.
-    split = docs.select(*others, F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__cls"), F.split("text", "\n", -1).alias("__lines"))
-    found = split.join(gone.hint("merge"), (F.col("__cls") == F.col("__gone_cls")) & F.col("__id").eqNullSafe(F.col("__gone_id")), "left")
+    split = docs.select(*others, _number().alias("__id"), F.xxhash64("text").alias("__cls"), F.split("text", "\n", -1).alias("__lines"))
+    found = split.join(gone.hint("merge"), (F.col("__cls") == F.col("__gone_cls")) & (F.col("__id") == F.col("__gone_id")), "left")
     kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
     chosen = F.when(F.col("__gone").isNull(), F.col("__lines")).otherwise(F.transform(kept, lambda i: F.get("__lines", i)))
     text = F.when(F.col("__lines").isNotNull(), F.array_join(chosen, "\n"))

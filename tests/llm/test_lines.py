@@ -46,3 +46,29 @@ def test_every_similar_pair_is_joined(spark, settings):
                 join(a, b)
     got = lines.deduplicate(odd.frame(spark, rows_of(texts)), settings).collect()
     assert {r.doc_id for r in got if r.n_removed} == {i for i in words if find(i) != i}
+
+
+def test_one_changed_word_is_found(spark):
+    """60 pairs each of 12, 30 and 60 words, of short and of long words, with one word changed."""
+    rng = random.Random(5)
+    word = lambda least, most: "".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(least, most)))
+    texts = []
+    for n in (12, 30, 60):
+        for sizes in ((3, 3), (2, 9)):
+            for _ in range(60):
+                base = [word(*sizes) for _ in range(n)]
+                copy = list(base)
+                copy[rng.randrange(n)] = "changed"
+                texts += [" ".join(base), " ".join(copy)]
+    got = {r.doc_id: r.n_removed for r in lines.deduplicate(odd.frame(spark, rows_of(texts))).collect()}
+    assert all(got[i] == i % 2 for i in got)
+
+
+def test_repeated_and_null_ids_keep_lines_of_their_own(spark):
+    rest = odd.documents()[0][2:]
+    rows = [(1, "one line that both have\nfirst own line", *rest), (1, "second own line\none line that both have", *rest), (None, "a line without an id\nfirst own line", *rest), (None, None, *rest)]
+    got = sorted((r.doc_id or 0, r.text or "", r.n_lines, r.n_removed) for r in lines.deduplicate(odd.frame(spark, rows)).collect())
+    assert [g[2:] for g in got if g[0] == 0] == [(0, 0), (2, 0)]
+    texts = [t for i, t, _, _ in got if i == 1]
+    assert sum("one line that both have" in t for t in texts) == 1 and sum("second own line" in t for t in texts) == 1
+    assert not any("first own line" in t for t in texts)
