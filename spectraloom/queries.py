@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spectraloom.chem import LETTERS, MASS_E8, PROTON_E8, UNIT, WATER_E8
-from spectraloom.operators import distribute, expect, match, mods, peptides, score, series, spectra, vectors
+from spectraloom.operators import cards, distribute, expect, match, mods, peptides, score, series, spectra, vectors
 from spectraloom.operators import ions as ion
 from spectraloom.params import ModSpec, Policy, SearchParams, parse_mods
 from spectraloom.plans import index, search
@@ -40,12 +40,19 @@ def query(sql: str | None = None):
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A table, dealt to all cores if its files have fewer splits than there are cores (a table of that size is small)."""
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if table == "documents" and df.rdd.getNumPartitions() < cores else df
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A new folder in the shared folder of spark.checkpoint.dir, a local one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/spectraloom-engine"
+    """A new folder in the shared folder of spark.checkpoint.dir; a local one only where that is unset and Spark is local."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"file://{tempfile.gettempdir()}/spectraloom-engine"
     return f"{root}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
@@ -469,9 +476,9 @@ def expect_gumbel(spark, sf_dir):
 @query(_sql("SELECT spectrum_id, entry_id, seq, hyperscore FROM order_ WHERE rank = 1").replace(f"AND abs(prec_e8 - mass_e8) <= {P.dm_e8}", ""))
 def open_search(spark, sf_dir):
     p = P.with_(dm=-1.0)
-    heads, entries, cards = _cards(spark, sf_dir, p)
-    found = _stored(score.candidates(cards, p))
-    return score.top_one(found, heads, entries).select("spectrum_id", "entry_id", "seq", "hyperscore")
+    heads, peaks, entries, ions = _self(spark, sf_dir)
+    near = cards.open_cards(heads, peaks, ions, entries.agg(F.max("entry_id")).first()[0] or 0, p, best=True)
+    return score.top_k(_stored(score.candidates(near, p)), heads, entries, 1).select("spectrum_id", "entry_id", "seq", "hyperscore")
 
 
 # --- series ---------------------------------------------------------------------
