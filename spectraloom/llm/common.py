@@ -29,9 +29,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a local one only where that is unset, as in tests."""
+    """The shared folder of ``spark.checkpoint.dir``; a local one only where that is unset and Spark is local, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = f"file://{tempfile.gettempdir()}/spectraloom-scratch"
     return f"{root}/{spark.sparkContext.applicationId}"
 
@@ -75,7 +77,7 @@ def hash_sample(df: DataFrame, key: str, rows: int, most: int) -> DataFrame:
     """About ``most`` of the ``rows`` rows of ``df``, by the hash of a key; never more than twice as many, no sort."""
     if rows > most:
         df = df.filter(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int((1 << 30) * most / rows))
-    return df.limit(2 * most)
+    return df.orderBy(F.xxhash64(key), key).limit(2 * most)
 
 
 def tidied(work):

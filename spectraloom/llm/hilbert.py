@@ -26,6 +26,7 @@ class Settings:
     """orderings, dims, bits: curves, directions and bits a direction of each.
     window: share of an ordering on either side of a query that it meets.
     ranges, range_rows: least key ranges of an ordering, and rows of a range on average.
+    least_rows: rows of a range at least on average, so that queries of a small table meet all of it.
     sample: rows (about; by id hash) that the grid and the ranges are fitted on; every row is indexed.
     """
 
@@ -36,6 +37,7 @@ class Settings:
     window: float = 0.1
     ranges: int = 30
     range_rows: int = 4096
+    least_rows: int = 64
     sample: int = 20_000
     seed: int = 11
 
@@ -98,8 +100,8 @@ def search(table: DataFrame, every: int, settings: Settings = Settings()) -> Dat
     The score is the Euclidean distance of the original vectors. A key range
     with more rows than planned (many equal vectors) is split and its queries
     meet all parts. Vectors that are null, all zero or hold null or non-finite
-    components take no part; rows of one vec_id count once and are not
-    candidates of that id; ties go to the smaller vec_id; an empty table gives
+    components take no part; rows of one vec_id count once (as a query the least
+    vector) and are not candidates of that id; ties go to the smaller vec_id; an empty table gives
     no rows.
     """
     s = settings
@@ -108,7 +110,7 @@ def search(table: DataFrame, every: int, settings: Settings = Settings()) -> Dat
     schema = "query_id long, vec_id long, score double"
     if not n:
         return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    ranges = max(s.ranges, math.ceil(n / s.range_rows))
+    ranges = min(max(s.ranges, math.ceil(n / s.range_rows)), max(1, n // s.least_rows))
     reach = math.ceil(ranges * s.window)
     sample = hash_sample(whole, "vec_id", n, s.sample).toArrow().sort_by("vec_id").column("vec").combine_chunks()
     curves = Curves(vectors.matrix(sample), ranges, s)
@@ -126,7 +128,8 @@ def search(table: DataFrame, every: int, settings: Settings = Settings()) -> Dat
     key = F.xxhash64("o", "r", "p").alias("g")
     none = F.lit(None).cast("double").alias("bound")
     members = rows.join(parts, ["o", "r"]).withColumn("p", F.pmod(F.xxhash64("vec_id"), "parts")).select(key, F.lit(False).alias("query"), F.col("vec_id").alias("id"), "vec", none)
-    queries = rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "o"]).withColumn("r", F.explode(F.sequence(F.col("r") - reach, F.col("r") + reach)))
+    asked = placed.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("vec", "at")).alias("q"))
+    queries = asked.select("vec_id", "q.vec", F.posexplode("q.at").alias("o", "r")).withColumn("r", F.explode(F.sequence(F.col("r") - reach, F.col("r") + reach)))
     queries = queries.join(parts, ["o", "r"]).withColumn("p", F.explode(F.expr("sequence(0L, parts - 1L)"))).select(key, F.lit(True).alias("query"), F.col("vec_id").alias("id"), "vec", none)
 
     def build(ids, rows):

@@ -79,7 +79,7 @@ def search(table: DataFrame, every: int, settings: Settings = Settings()) -> Dat
     k-th score found there bounds the search of every other shard, which
     returns only scores that reach it. Vectors that are null or hold null or
     non-finite components take no part; rows of one vec_id count once (their
-    best score) and are not candidates of that id; ties go to the smaller
+    best score; as a query the least vector) and are not candidates of that id; ties go to the smaller
     vec_id; an empty table gives no rows.
     """
     s = settings
@@ -88,7 +88,7 @@ def search(table: DataFrame, every: int, settings: Settings = Settings()) -> Dat
     shards = max(1, math.ceil(whole.count() / s.shard_rows))
     placed = whole.withColumn("g", F.pmod(F.xxhash64("vec_id"), F.lit(shards)))
     members = placed.select("g", F.lit(False).alias("query"), F.col("vec_id").alias("id"), "vec", F.lit(None).cast("double").alias("bound"))
-    queries = placed.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
+    queries = placed.filter(F.col("vec_id") % every == 0).groupBy("vec_id", "g").agg(F.min("vec").alias("vec"))
     schema = "query_id long, vec_id long, score long"
 
     def build(ids, rows):

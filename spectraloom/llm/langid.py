@@ -8,10 +8,10 @@ language with the fewest bytes in all wins; a narrow margin is a rejection.
 from __future__ import annotations
 
 import math
-import re
 from dataclasses import dataclass
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,25 +20,24 @@ from spectraloom.llm.common import tidied
 
 #: Answer for a text without letters.
 UNDETERMINED = "und"
-_OTHER = re.compile(r"[\W\d_]+")
+_OTHER = regex.compile(r"[^\p{L}\p{M}]+")
+_LETTER = regex.compile(r"\p{L}")
 
 
 @dataclass(frozen=True)
 class Settings:
     """Bounds of the sample and of the decision.
 
-    sample_docs, sample_chars, dictionary_bytes, max_languages: at most so many
-    labelled rows a language (those of smallest id hash), characters of each,
-    bytes of a dictionary, and languages (the most frequent).
+    sample_docs: labelled rows that a language is learnt from (those of least
+    hash of id and text), whole texts of them. max_languages: more labelled
+    languages than this are an error, as each is a dictionary in every task.
     block_bytes: a text is compressed in blocks of this size, so that a long
     text cannot learn from itself. min_margin: a smaller lead of the best
     language over the next, as a share of the best size, is a rejection.
     """
 
-    sample_docs: int = 160
-    sample_chars: int = 3000
-    dictionary_bytes: int = 112_000
-    max_languages: int = 64
+    sample_docs: int = 48
+    max_languages: int = 1024
     block_bytes: int = 2048
     level: int = 6
     sharpness: float = 0.25
@@ -46,29 +45,32 @@ class Settings:
 
 
 def letters(text: str) -> str:
-    """Lower-cased letters; each run of anything else is a space."""
-    return _OTHER.sub(" ", text.lower()).strip()
+    """Lower-cased letters and their marks; each run of anything else is a space. Empty without a letter."""
+    return _OTHER.sub(" ", text.lower()).strip() if _LETTER.search(text) else ""
 
 
 def fit(labelled: DataFrame, settings: Settings = Settings()) -> dict[str, bytes]:
     """Dictionaries by language from rows (doc_id, text, lang), most frequent language first.
 
     Rows with a null text or lang are left out; an empty table gives no
-    language. What reaches the driver is bounded by ``settings``.
+    language. The driver gets ``sample_docs`` whole texts a language.
     """
-    rows = labelled.filter("text is not null and lang is not null").select("doc_id", "lang", F.substring("text", 1, settings.sample_chars).alias("text"))
-    langs = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.max_languages).collect()]
+    rows = labelled.filter("text is not null and lang is not null").select("doc_id", "lang", "text")
+    langs = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.max_languages + 1).collect()]
+    if len(langs) > settings.max_languages:
+        raise ValueError(f"more than {settings.max_languages} languages")
     if not langs:
         return {}
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.filter(F.col("lang").isin(langs)).select("lang", "doc_id").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= settings.sample_docs)
-    chosen = sorted({r.doc_id for r in ids.select("doc_id").collect()})
+    named = rows.withColumn("order", F.xxhash64("doc_id", "text"))
+    order = Window.partitionBy("lang").orderBy("order", "doc_id")
+    chosen = named.select("lang", "order", "doc_id").distinct().withColumn("k", F.row_number().over(order)).filter(F.col("k") <= settings.sample_docs)
+    # At most sample_docs small rows a language.
+    sample = named.join(F.broadcast(chosen.select("lang", "order")), ["lang", "order"]).dropDuplicates(["lang", "order"])
     texts: dict[str, list[str]] = {x: [] for x in langs}
-    sample = rows.filter(F.col("doc_id").isin(chosen)).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(settings.sample_docs * len(langs) * 2)
-    for r in sample.collect():
-        if r.lang in texts and (t := letters(r.text)):
+    for r in sorted(sample.select("lang", "order", "text").collect()):
+        if t := letters(r.text):
             texts[r.lang].append(t)
-    made = {x: " ".join(dict.fromkeys(t)).encode()[: settings.dictionary_bytes] for x, t in texts.items()}
+    made = {x: " ".join(dict.fromkeys(t)).encode() for x, t in texts.items()}
     return {x: b for x, b in made.items() if len(b) >= 8}
 
 
@@ -106,7 +108,9 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], settings: Settings
 
     One map over whole texts, no shuffle. A null text or one without letters is
     ``und`` with score 0 and is not accepted; repeated rows are answered alike;
-    other columns, whatever their names, are not read.
+    a text of any length is read whole, block by block; equal sizes go to the
+    language with more labelled rows. Other columns, whatever their names, are
+    not read.
     """
 
     @tidied

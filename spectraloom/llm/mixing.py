@@ -19,8 +19,8 @@ from spectraloom.llm.common import stored
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights that sources take in turn.
 WEIGHTS = (5.0, 2.0, 1.0)
-#: At least so many slots, and at most so many words in each of them.
-LEAST_SLOTS, MOST_BLOCK_TOKENS = 1 << 20, 1024
+#: Words of a block, at every size.
+BLOCK_TOKENS = 64
 #: Cells of [0, 1) in which slots meet sources.
 CELLS = 4096
 _GOLDEN = (math.sqrt(5) - 1) / 2
@@ -86,40 +86,43 @@ def schedule(by: DataFrame, block_tokens: int, slots: int) -> DataFrame:
     return running_sum(met, "src", "span", ["slot"], "one", "rank").select("slot", "src", F.col("rank").cast("long").alias("rank"))
 
 
-def mix(docs: DataFrame, seed: int = 7, block_tokens: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def mix(docs: DataFrame, seed: int = 7, block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, spans, schedule) of a mix of ``docs`` (doc_id, text, source).
 
-    rows: doc_id, row, size, source, source_size, target, taken.
+    rows: doc_id, row, cls (hash of the text), size, source, source_size, target, taken.
     spans: row, src, rank, epoch, words: what each block takes of each document.
     schedule: slot, src, rank.
 
     A null text has size 0; a null source is a source. Rows that repeat are
     documents of their own. An empty table gives empty results. Only doc_id,
-    text and source are read.
+    text and source are read. Rows of one doc_id follow by the hash of their
+    text, so that reruns over other file splits agree.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    base = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), F.monotonically_increasing_id().alias("row")))
+    base = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), F.monotonically_increasing_id().alias("row"), F.xxhash64("text").alias("cls")))
     by = stored(targets(base))
     total = by.agg(F.sum("target")).first()[0] or 0.0
-    block = block_tokens or int(min(MOST_BLOCK_TOKENS, max(1, total // LEAST_SLOTS)))
+    block = block_tokens
     plan = schedule(by, block, math.ceil(total / block))
     rows = base.join(by.select(F.col("source").alias("_s"), "src", "source_size", "target"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     rows = rows.withColumn("key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))).withColumn("bucket", F.substring("key", 1, 3))
-    rows = running_sum(rows, "src", "bucket", ["key", "doc_id", "row"], "size", "start")
+    rows = running_sum(rows, "src", "bucket", ["key", "doc_id", "cls", "row"], "size", "start")
     laps = rows.filter("size > 0").select("row", "src", "size", F.posexplode(F.array(F.col("start"), F.col("start") + F.col("source_size"))).alias("epoch", "at"))
     blocks = laps.select("*", F.explode(F.sequence(F.expr(f"at div {block}"), F.expr(f"(at + size - 1) div {block}"))).alias("rank"))
     inside = F.least(F.col("at") + F.col("size"), (F.col("rank") + 1) * block) - F.greatest(F.col("at"), F.col("rank") * block)
     spans = blocks.select("row", "src", "rank", "epoch", inside.alias("words")).join(plan, ["src", "rank"], "left_semi")
     taken = spans.groupBy("row").agg(F.sum("words").alias("taken"))
     out = rows.join(taken, "row", "left")
-    return out.select("doc_id", "row", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")), spans, plan
+    return out.select("doc_id", "row", "cls", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")), spans, plan
 
 
 def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
     """``docs`` as often as the mix takes them: once for each pass over a source that takes more than half of the text.
 
-    A document without words is not taken. Columns are those of ``docs``.
+    A document without words is not taken, one without an id is. Columns are those of ``docs``.
     """
     rows, _, _ = mix(docs, seed)
-    copies = rows.filter("taken > 0").groupBy("doc_id").agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("__mix_copies"))
-    return docs.join(copies.filter("__mix_copies > 0").withColumnRenamed("doc_id", "__mix_id"), F.col("doc_id") == F.col("__mix_id")).withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).select(*docs.columns)
+    number = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(1 << 63)))
+    copies = rows.filter("taken > 0").groupBy(number("doc_id").alias("__mix_id"), F.col("cls").alias("__mix_cls")).agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("__mix_copies"))
+    met = docs.join(copies.filter("__mix_copies > 0"), (number("doc_id") == F.col("__mix_id")) & (F.xxhash64("text") == F.col("__mix_cls")))
+    return met.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).select(*docs.columns)

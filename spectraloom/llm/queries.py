@@ -106,7 +106,7 @@ ORACLES: dict[str, str] = {
         w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][src % 3 + 1] AS w, size * 2.0::DOUBLE AS cap FROM o),
         l AS (SELECT *, {_LEVEL} AS level FROM w WINDOW f AS (ORDER BY cap / w, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
         t AS (SELECT source, src, size, least(cap, coalesce((SELECT arg_min(level, cap / w) FROM l WHERE level <= cap / w) * w, cap)) AS target FROM l),
-        u AS (SELECT *, sum(target) OVER (ORDER BY src) AS up, sum(target) OVER () AS total FROM t), r AS (SELECT *, (up - target) / total AS low, up / total AS high, greatest(1, least(1024, CAST(floor(total / 1048576) AS BIGINT))) AS block FROM u),
+        u AS (SELECT *, sum(target) OVER (ORDER BY src) AS up, sum(target) OVER () AS total FROM t), r AS (SELECT *, (up - target) / total AS low, up / total AS high, CAST({mixing.BLOCK_TOKENS} AS BIGINT) AS block FROM u),
         slots AS (SELECT x - floor(x) AS x FROM (SELECT (i >> 20) * {mixing._GOLDEN_HIGH!r}::DOUBLE + (i & 1048575) * {mixing._GOLDEN!r}::DOUBLE + 0.5 AS x FROM (SELECT unnest(range(CAST(ceil(total / block) AS BIGINT))) AS i FROM (SELECT DISTINCT total, block FROM r)))),
         n AS (SELECT src, block * count(x) AS n FROM r LEFT JOIN slots ON x >= low AND x < high GROUP BY src, block),
         p AS (SELECT d.*, r.src, r.size AS source_size, target, coalesce(sum(d.size) OVER (PARTITION BY r.src ORDER BY md5('7:' || doc_id), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_ FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
