@@ -15,7 +15,10 @@ from spectraloom.llm.common import bucket_of, read, stored
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps what the classifier accepts; it learns from the stage's own documents outside the held-out quarter."""
+    """Keeps what the classifier accepts; it learns from the stage's own documents outside the held-out quarter.
+
+    A text that is null or has no letters has no language and goes, too.
+    """
     model = langid.fit(docs.filter(bucket_of("doc_id", 4) != 2))
     return langid.accepted(docs, model)
 
@@ -26,14 +29,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each group of near copies."""
+    """Keeps the document of smallest id of each group of near copies; one without an id is in no group and stays."""
     classes, _ = jaccard.join(docs)
-    keep = classes.filter("doc_id = component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(keep, F.col("doc_id") == F.col("__kept_id"), "left_semi")
+    copies = classes.filter("doc_id <> component_id").select(F.col("doc_id").alias("__copy_id")).distinct()
+    return docs.join(copies, F.col("doc_id") == F.col("__copy_id"), "left_anti")
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them; one without words is never taken."""
     return mixing.mixed_documents(docs)
 
 
