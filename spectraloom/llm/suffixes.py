@@ -40,6 +40,7 @@ class Settings:
 
 
 _LOW = np.uint64((1 << 24) - 1)
+_ODD = np.uint64(0x94D049BB133111EB)
 #: Two-byte symbols: UTF-8 has no byte above 0xF7, so 249 digits (0: behind the end) fit 16 bits.
 _DIGITS = 249
 
@@ -57,23 +58,34 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, s: Settings) -> tuple[np.ndarr
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[raw] * up[:n], out=total[1:])
     m = n - s.gram + 1
-    h = mix((total[s.gram :] - total[:m]) * down[:m])
-    place = np.arange(m, dtype=np.uint64)
-    best = np.full(m + -m % span, ~np.uint64(0))
-    best[:m] = (h & ~_LOW) | (place & _LOW)
-    blocks = best.reshape(-1, span)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    windows = m - span + 1
-    low = (np.minimum(behind[:windows], ahead[span - 1 : span - 1 + windows]) & _LOW).astype(np.int64)
-    at = np.arange(windows)
-    anchor = at + ((low - (at & int(_LOW))) & int(_LOW))
-    row = np.searchsorted(offsets, at, "right") - 1
-    ok = np.flatnonzero(at + s.width <= offsets[row + 1])
-    anchor, row = anchor[ok], row[ok]
-    first = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1]))[: len(ok)])
-    last = np.append(first[1:], len(ok)) - 1
-    return row[first], h[anchor[first]] >> np.uint64(16), ok[first], ok[last]
+    # One xor-shift and multiply: the high bits order the grams, and any order leaves the result exact.
+    h = total[s.gram :] - total[:m]
+    h *= down[:m]
+    h ^= h >> np.uint64(32)
+    h *= _ODD
+    low = h & ~_LOW
+    low |= np.arange(m, dtype=np.uint64) & _LOW
+    # The least of ``span`` neighbours, from runs that double in length.
+    reach, windows = 1, m - span + 1
+    while reach < span:
+        step = min(reach, span - reach)
+        low = np.minimum(low[:-step], low[step:])
+        reach += step
+    low &= _LOW
+    if n > int(_LOW):
+        at = np.arange(windows, dtype=np.uint64)
+        low = at + ((low - at) & _LOW)
+    cut = np.empty(windows, bool)
+    cut[0] = True
+    np.not_equal(low[1:], low[:-1], out=cut[1:])
+    valid = np.ones(windows, bool)
+    for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        valid[max(a, z - s.width + 1) : z] = False
+        cut[a : a + 1] = True
+    first = np.flatnonzero(cut & valid)
+    row = np.searchsorted(offsets, first, "right") - 1
+    last = np.minimum(np.append(first[1:], windows) - 1, offsets[row + 1] - s.width)
+    return row, h[low[first].astype(np.int64)] >> np.uint64(16), first, last
 
 
 def _runs(batch: pa.RecordBatch, s: Settings):
