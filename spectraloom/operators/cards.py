@@ -51,14 +51,14 @@ class _Shard:
 def open_cards(spectra: DataFrame, peaks: DataFrame, ions: DataFrame, entries: int, p: SearchParams, best: bool = False, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
     """spectrum_id, entry_id, b_cnt, y_cnt, b_int, y_int of pairs that share at least ``min_shared`` peaks, at any mass.
 
-    ``entries`` is the largest entry_id. Each spectrum's peaks go once to every
+    ``entries`` is their number; ids may be any. Each spectrum's peaks go once to every
     shard of entries; matches of single peaks never leave the shard, only cards
     that reach the count do, and with ``best`` only those whose score comes near
     the best of the spectrum in the shard, so that a top match costs a few rows.
     """
     cores = spectra.sparkSession.sparkContext.defaultParallelism
     shards = max(1, -(-entries // shard_entries), min(2 * cores, entries // LEAST_ENTRIES))
-    members = ions.select(F.expr(f"(entry_id - 1) % {shards}L").alias("g"), F.lit(False).alias("query"), F.col("entry_id").alias("id"), "bin", F.col("is_y").cast("long").alias("v"), F.col("z").cast("int").alias("z"))
+    members = ions.select(F.pmod(F.xxhash64("entry_id"), F.lit(shards).cast("long")).alias("g"), F.lit(False).alias("query"), F.col("entry_id").alias("id"), "bin", F.col("is_y").cast("long").alias("v"), F.col("z").cast("int").alias("z"))
     guard = (F.col("bin") > p.df_bins) & (F.col("bin") < p.top_bin - p.df_bins)
     asked = peaks.filter(guard).join(spectra.select("spectrum_id", "charge"), "spectrum_id")
     asked = asked.select(F.explode(F.expr(f"sequence(0L, {shards - 1}L)")).alias("g"), F.lit(True).alias("query"), F.col("spectrum_id").alias("id"), "bin", F.col("intensity").cast("long").alias("v"), F.col("charge").cast("int").alias("z"))

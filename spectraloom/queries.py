@@ -477,7 +477,7 @@ def expect_gumbel(spark, sf_dir):
 def open_search(spark, sf_dir):
     p = P.with_(dm=-1.0)
     heads, peaks, entries, ions = _self(spark, sf_dir)
-    near = cards.open_cards(heads, peaks, ions, entries.agg(F.max("entry_id")).first()[0] or 0, p, best=True)
+    near = cards.open_cards(heads, peaks, ions, entries.count(), p, best=True)
     return score.top_k(_stored(score.candidates(near, p)), heads, entries, 1).select("spectrum_id", "entry_id", "seq", "hyperscore")
 
 
