@@ -89,8 +89,17 @@ def with_variants(peptides: DataFrame, p: SearchParams) -> DataFrame:
 
 
 def offsets(counts: DataFrame, key: str, n: str) -> DataFrame:
-    """``counts`` with first: the rows of all smaller keys (exclusive prefix sum)."""
-    return counts.withColumn("first", F.coalesce(F.sum(n).over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    """``counts`` with first: the rows of all smaller keys (exclusive prefix sum), by the string ``key``.
+
+    Sums of ranges of keys (their first three characters) meet in one task, the
+    keys of a range in one each.
+    """
+    rows = counts.withColumn("_range", F.substring(F.coalesce(key, F.lit("")), 1, 3))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    ranges = rows.groupBy("_range").agg(F.sum(n).alias("_sum"))
+    ranges = ranges.select("_range", F.coalesce(F.sum("_sum").over(earlier(Window.orderBy("_range"))), F.lit(0)).alias("_before"))
+    inside = F.coalesce(F.sum(n).over(earlier(Window.partitionBy("_range").orderBy(key))), F.lit(0))
+    return rows.join(ranges, "_range").withColumn("first", F.col("_before") + inside).drop("_range", "_before")
 
 
 def mod_info(mods: str) -> Column:

@@ -569,18 +569,11 @@ def _raw_wild(spark, sf_dir):
 @query("SELECT l_orderkey AS scan, 2 AS charge, count(*) AS n_peaks, round(sum(l_quantity), 2) AS intensity FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
 def ms2_roundtrip(spark, sf_dir):
     path = _scratch(spark)
-    ms2.write(_raw_wild(spark, sf_dir).repartition(4), path)
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-
-    def work(frames):
-        import pandas as pd
-
-        for frame in frames:
-            rows = [(r[2], r[3], len(r[6]), sum(x for _, x in r[6])) for file, value in frame.itertuples(index=False) for r in ms2.parse(value.splitlines(), file)]
-            yield pd.DataFrame(rows, columns=["scan", "charge", "n_peaks", "intensity"])
-
-    found = whole.mapInPandas(work, "scan long, charge int, n_peaks long, intensity double")
-    return found.withColumn("intensity", F.round("intensity", 2))
+    ms2.write(_raw_wild(spark, sf_dir), path)
+    spark.dataSource.register(ms2.MS2DataSource)
+    found = spark.read.format("ms2").load(path)
+    intensity = F.round(F.aggregate("peaks", F.lit(0.0), lambda s, x: s + x["intensity"]), 2)
+    return found.select(F.col("scan").cast("long").alias("scan"), "charge", F.size("peaks").cast("long").alias("n_peaks"), intensity.alias("intensity"))
 
 
 @query("SELECT f AS file, count(*) AS n_spectra, CAST(max(n) AS INTEGER) AS max_peaks FROM (SELECT 'part' || (l_orderkey % 4) || '.ms2' AS f, l_orderkey, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL) GROUP BY 1")

@@ -5,15 +5,19 @@
 
 H and D lines are skipped, S begins a spectrum, ``I RTime`` and Z give its
 retention time, charge and mass, any other line is a peak. A file is one
-partition: spectra span lines.
+partition: spectra span lines. Paths are opened through Arrow's file systems
+(local, hdfs, s3, gs).
 """
 
 from __future__ import annotations
 
-import glob
+import io
 import os
+import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
@@ -53,15 +57,32 @@ def parse(lines, file: str) -> Iterator[tuple]:
         yield tuple(now)
 
 
+def _system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path and the path in it."""
+    return fs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
+
+
 def _files(path: str) -> list[str]:
-    path = path.removeprefix("file://")
-    found = glob.glob(os.path.join(path, "*.ms2")) if os.path.isdir(path) else glob.glob(path)
-    return sorted(found)
+    """The ``.ms2`` files of a folder in name order, or the file itself; none if the path does not exist."""
+    system, inside = _system(path)
+    found = system.get_file_info(inside)
+    if found.type == fs.FileType.Directory:
+        return sorted(f.path for f in system.get_file_info(fs.FileSelector(inside)) if f.is_file and f.extension == "ms2")
+    return [found.path] if found.is_file else []
 
 
 class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    """A file of the file system of ``root``; without a ``path`` no rows."""
+
+    def __init__(self, root: str, path: str | None):
+        self.root, self.path = root, path
+
+
+def _rows(partition: _File) -> Iterator[tuple]:
+    if partition.path is not None:
+        system, _ = _system(partition.root)
+        with system.open_input_stream(partition.path) as raw:
+            yield from parse(io.TextIOWrapper(io.BufferedReader(raw), "utf-8"), os.path.basename(partition.path))
 
 
 class _Reader(DataSourceReader):
@@ -69,31 +90,35 @@ class _Reader(DataSourceReader):
         self.path = path
 
     def partitions(self):
-        return [_File(f) for f in _files(self.path)]
+        # Spark needs one partition even of a folder without files.
+        return [_File(self.path, f) for f in _files(self.path)] or [_File(self.path, None)]
 
     def read(self, partition):
-        with open(partition.path) as lines:
-            yield from parse(lines, os.path.basename(partition.path))
+        return _rows(partition)
 
 
 class _StreamReader(DataSourceStreamReader):
-    """New files of a folder in name order, each read by a task of its own; the offset is the last name."""
+    """New files of a folder, each read once by a task of its own, whatever their names and times.
+
+    The offset holds the names of all files seen, so that a file that arrives
+    late is new however it is called; it grows with the files of the folder.
+    """
 
     def __init__(self, path: str):
         self.path = path
 
     def initialOffset(self):
-        return {"last": ""}
+        return {"seen": []}
 
     def latestOffset(self):
-        return {"last": max((os.path.basename(f) for f in _files(self.path)), default="")}
+        return {"seen": _files(self.path)}
 
     def partitions(self, start, end):
-        return [_File(f) for f in _files(self.path) if start["last"] < os.path.basename(f) <= end["last"]]
+        old = set(start["seen"])
+        return [_File(self.path, f) for f in end["seen"] if f not in old] or [_File(self.path, None)]
 
     def read(self, partition):
-        with open(partition.path) as lines:
-            yield from parse(lines, os.path.basename(partition.path))
+        return _rows(partition)
 
 
 class MS2DataSource(DataSource):
@@ -135,8 +160,41 @@ def text_blocks(raw: DataFrame) -> DataFrame:
 
 
 def write(raw: DataFrame, path: str) -> None:
-    """MS2 files, one a partition; a file's spectra stay together and in order."""
-    text_blocks(raw).repartition("file").sortWithinPartitions("file", "ordinal").select("value").write.mode("overwrite").option("compression", "none").text(path)
+    """One ``.ms2`` file in the folder for each ``file`` of ``raw``, its spectra in order; ``.ms2`` files there before go.
+
+    A file is written by one task under a name of its own and renamed when it
+    is whole, so that a task that is run again finds its earlier files whole or
+    not at all. Without a name spectra go to ``unnamed.ms2``.
+    """
+    system, folder = _system(path)
+    system.create_dir(folder)
+    for old in _files(path):
+        system.delete_file(old)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, folder = _system(path)
+        now, out, part = None, None, f"{folder}/_{uuid.uuid4().hex}"
+
+        def close() -> None:
+            if out is not None:
+                out.close()
+                if system.get_file_info(f"{folder}/{now}").is_file:
+                    system.delete_file(part)
+                else:
+                    system.move(part, f"{folder}/{now}")
+
+        for b in batches:
+            for file, value in zip(b.column("file").to_pylist(), b.column("value").to_pylist(), strict=True):
+                if file != now:
+                    close()
+                    now, out = file, system.open_output_stream(part)
+                out.write(value.encode() + b"\n")
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([], pa.string())], ["file"])
+
+    bare = F.element_at(F.split(F.coalesce("file", F.lit("unnamed.ms2")), "/"), -1)
+    named = text_blocks(raw).withColumn("file", F.when(bare.endswith(".ms2"), bare).otherwise(F.concat(bare, F.lit(".ms2"))))
+    named.repartition("file").sortWithinPartitions("file", "ordinal").select("file", "value").mapInArrow(work, "file string").count()
 
 
 def extract(raw: DataFrame, ordinals: list[int]) -> DataFrame:

@@ -137,8 +137,15 @@ def test_ms2_sources_and_sinks(spark, tmp_path):
     assert key(got) == key(ms2.read(spark, str(tmp_path / "in")))
     assert spectra.file_summary(got).first().asDict() == {"file": "a.ms2", "n_spectra": 3, "max_peaks": 2, "n_batches": 1, "first_batch": 0}
     ms2.write(ms2.extract(got, [0, 2]), f"file://{tmp_path}/out")
-    text = "".join(p.read_text() for p in (tmp_path / "out").glob("*.txt"))
-    assert [r[6] for r in ms2.parse(text.splitlines(), "x")] == [[(100.5, 10.0), (200.25, 20.5)], [(300.0, 1.0)]]
+    assert [p.name for p in (tmp_path / "out").iterdir()] == ["a.ms2"]
+    again = spark.read.format("ms2").load(f"file://{tmp_path}/out").orderBy("ordinal").collect()
+    assert [[tuple(x) for x in r.peaks] for r in again] == [[(100.5, 10.0), (200.25, 20.5)], [(300.0, 1.0)]]
+    more = got.withColumn("file", F.when(F.col("ordinal") == 1, F.lit("b")).when(F.col("ordinal") == 2, F.lit("x/c.ms2")))
+    ms2.write(more, str(tmp_path / "out"))
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["b.ms2", "c.ms2", "unnamed.ms2"]
+    assert key(spark.read.format("ms2").load(str(tmp_path / "out")).drop("file").withColumn("file", F.lit(""))) == key(got.withColumn("file", F.lit("")).withColumn("ordinal", F.lit(0)))
+    (tmp_path / "none").mkdir()
+    assert spark.read.format("ms2").load(str(tmp_path / "none")).count() == 0
     cached = index.cached_spectra(spark, got, f"file://{tmp_path}/cache", P, ["a.ms2"])
     assert cached.count() == 3
     assert index.cached_spectra(spark, got.filter("false"), f"file://{tmp_path}/cache", P, ["a.ms2"]).count() == 3
@@ -230,3 +237,24 @@ def test_ion_dumps(spark, tmp_path, entries):
     assert len(lines) == entries.count()
     bins = [int(x.split(":")[0]) for x in lines[0].value.split()[1:]]
     assert bins == sorted(set(bins))
+
+
+def test_stream_reads_files_that_come_late(spark, tmp_path):
+    """A file whose name is before that of one already read."""
+    spark.dataSource.register(ms2.MS2DataSource)
+    folder = tmp_path / "in"
+    folder.mkdir()
+    seen: list = []
+    for name in ("m.ms2", "a.ms2", None):
+        if name:
+            (folder / name).write_text(MS2)
+        raw = spark.readStream.format("ms2").load(str(folder))
+        sink = lambda rows, i: seen.extend(r.file for r in rows.collect())
+        raw.writeStream.foreachBatch(sink).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    assert seen == ["m.ms2"] * 3 + ["a.ms2"] * 3
+
+
+def test_offsets_are_a_running_sum(spark):
+    rows = [(k, n) for k, n in zip(["", "A", "AAA", "AAAA", "AAB", "B", "BA"], range(1, 8), strict=True)]
+    got = {r.k: r.first for r in mods.offsets(spark.createDataFrame(rows[::-1], "k string, n long"), "k", "n").collect()}
+    assert got == {k: sum(n for j, n in rows if j < k) for k, _ in rows}
