@@ -62,8 +62,11 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> dict[str, bytes
     if not langs:
         return {}
     named = rows.withColumn("order", F.xxhash64("doc_id", "text"))
-    order = Window.partitionBy("lang").orderBy("order", "doc_id")
-    chosen = named.select("lang", "order", "doc_id").distinct().withColumn("k", F.row_number().over(order)).filter(F.col("k") <= settings.sample_docs)
+    # The least of each 64th of a language come first, so that no task orders all of a language's rows.
+    chosen = named.select("lang", "order", "doc_id").distinct().withColumn("part", F.pmod("order", F.lit(64)))
+    for by in (["lang", "part"], ["lang"]):
+        order = Window.partitionBy(*by).orderBy("order", "doc_id")
+        chosen = chosen.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= settings.sample_docs)
     # At most sample_docs small rows a language.
     sample = named.join(F.broadcast(chosen.select("lang", "order")), ["lang", "order"]).dropDuplicates(["lang", "order"])
     texts: dict[str, list[str]] = {x: [] for x in langs}
