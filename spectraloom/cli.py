@@ -69,7 +69,7 @@ def main(argv: list[str] | None = None) -> None:
 
         both = with_variants(found, p)
         plain = both.withColumn("entry_id", F.xxhash64("seq", "mods"))
-    spectra, peaks = exploded(picked_arrays(with_defaults(ms2.read(spark, args.spectra)), p))
+    spectra, peaks = exploded(picked_arrays(with_defaults(ms2.read(spark, args.spectra)), p), p)
     info = plain.select("entry_id", mod_info("mods").alias("mod_info")) if p.mods else None
     tables.write_report(report(search(spectra, peaks, plain, p), spectra, p, info), args.out)
 

@@ -10,7 +10,7 @@ from spectraloom.operators import match, mods, peptides, score, spectra
 from spectraloom.params import SearchParams, parse_mods
 from spectraloom.plans import index, search
 from spectraloom.sources import ms2, tables
-from spectraloom.streaming.search import search_stream
+from spectraloom.streaming.search import exploded, search_stream
 
 P = SearchParams(min_hits=1)
 SEQS = ["ACDEFGHIK", "LMNPQRSTVWYK", "GGGGGGK", "EANLER", "EANIER", "SAMPLEK", "PEPTIDEK", "MMSTYAVK", "CCCCCCK", "WWWWWWR"]
@@ -258,3 +258,9 @@ def test_offsets_are_a_running_sum(spark):
     rows = [(k, n) for k, n in zip(["", "A", "AAA", "AAAA", "AAB", "B", "BA"], range(1, 8), strict=True)]
     got = {r.k: r.first for r in mods.offsets(spark.createDataFrame(rows[::-1], "k string, n long"), "k", "n").collect()}
     assert got == {k: sum(n for j, n in rows if j < k) for k, _ in rows}
+
+
+def test_protonated_precursors(spark):
+    raw = spark.createDataFrame([("a.ms2", 0, 1, 2, 700.5, 0.0, [{"mz": 100.0, "intensity": 5.0}], {})], ms2.SCHEMA)
+    plain, mh = (exploded(spectra.picked_arrays(spectra.with_defaults(raw), q), q)[0].first().prec_e8 for q in (P, P.with_(precursor_is_mh=True)))
+    assert plain == 70_050_000_000 and plain - mh == PROTON_E8
