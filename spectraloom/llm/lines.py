@@ -70,29 +70,33 @@ def _enough(kept: float, miss: float) -> int:
     return next(m for m in range(_COMMON, 1 << 20) if (1 - kept) ** m + m * kept * (1 - kept) ** (m - 1) <= miss)
 
 
+def _first_words(s: Settings) -> int:
+    """Of a line's rarest words, so many make its keys."""
+    return _enough(s.similarity, s.miss)
+
+
 def _pairs_of(items: str, most: int) -> Column:
-    """Hashes of all pairs of the first ``most`` of the distinct ``items``; if these are fewer, of each of them, too."""
+    """Hashes of all pairs of the first ``most`` of the distinct ``items``; if these are fewer, of each of them, too. Nulls fill the rest."""
     at = lambda i: F.get(items, F.lit(i))
     both = [F.when(F.size(items) > j, F.xxhash64(at(i), at(j))) for i, j in combinations(range(most), _COMMON)]
     one = [F.when((F.size(items) > i) & (F.size(items) < most), F.xxhash64(at(i))) for i in range(most - 1)]
-    return F.array_compact(F.array(*both, *one))
+    return F.array(*both, *one)
 
 
 def lines(docs: DataFrame, s: Settings) -> DataFrame:
-    """doc_id, cls, line (from 0), h, n (words), keys of each line with a letter or digit.
+    """doc_id, cls, line (from 0), h, n (words), first of each line with a letter or digit.
 
-    cls is a hash of the whole text and h one of the line's words. keys is null
-    for a line of so few words that no edit is allowed, which has no similar
-    lines.
+    cls is a hash of the whole text and h one of the line's words. first has
+    the codes of the line's rarest words; it is null for a line of so few words
+    that no edit is allowed, which has no similar lines.
     """
     code = lambda w: F.shiftleft(-F.octet_length(w).cast("long"), _HASH_BITS) + F.shiftrightunsigned(F.xxhash64(w), 64 - _HASH_BITS)
-    coded = lambda raw: F.array_remove(F.transform(F.split(F.lower(raw), _GAP), code), code(F.lit("")))
-    # The words of all lines are coded before lines become rows, so that a filter on rows codes none again.
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("cls"), F.posexplode(F.transform(F.split("text", "\n", -1), coded)).alias("line", "words"))
-    most = _enough(s.similarity, s.miss)
+    coded = lambda raw: F.array_remove(F.transform(F.split(raw, _GAP), code), code(F.lit("")))
+    # A text is lower-cased at once, and the words of all its lines are coded before lines become rows, so that a filter on rows codes none again.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("cls"), F.posexplode(F.transform(F.split(F.lower("text"), "\n", -1), coded)).alias("line", "words"))
+    most = _first_words(s)
     first = F.when(F.size("words") >= _least_words(s), F.slice(F.array_distinct(F.slice(F.sort_array("words"), 1, 4 * most)), 1, most))
-    rows = rows.filter("size(words) > 0").select("doc_id", "cls", "line", F.xxhash64("words").alias("h"), F.size("words").alias("n"), first.alias("first"))
-    return rows.select("doc_id", "cls", "line", "h", "n", F.when(F.col("first").isNotNull(), _pairs_of("first", most)).alias("keys"))
+    return rows.filter("size(words) > 0").select("doc_id", "cls", "line", F.xxhash64("words").alias("h"), F.size("words").alias("n"), first.alias("first"))
 
 
 def _allowed(s: Settings, a: str | Column, b: str | Column) -> Column:
@@ -213,7 +217,7 @@ def _across(rows: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
 
 def _groups(docs: DataFrame, wide: DataFrame, s: Settings) -> DataFrame:
     """(id, component) of the lines of ``wide`` that have a link, by verified pairs."""
-    rows = wide.filter("keys is not null").select("h", "n", F.explode("keys").alias("key"))
+    rows = wide.filter("first is not null").select("h", "n", F.explode(_pairs_of("first", _first_words(s))).alias("key")).filter("key is not null")
     common = rows.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo < hi").select("key")
     shared = stored(rows.join(common.hint("shuffle_hash"), "key").distinct())
     release(docs.sparkSession)
