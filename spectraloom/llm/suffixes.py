@@ -281,17 +281,21 @@ def _by_hash(distinct: DataFrame, s: Settings) -> DataFrame:
 def repeated(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, cls, cuts (array<struct<start, end>>): byte ranges of each text that a document of smaller id has."""
     s = settings
+    # What a step has read goes before the next one writes: its table, and the shuffle files behind it.
     shared = stored(shared_anchors(docs, s))
     release(docs.sparkSession)
     found = stored(stretches(docs, shared, s))
+    discard(shared)
     release(docs.sparkSession)
     distinct = stored(found.groupBy("anchor", "bytes").agg(F.min("doc_id").alias("first")).withColumn("key", F.xxhash64("bytes")))
+    release(docs.sparkSession)
     large = stored(distinct.groupBy("anchor").count().filter(F.col("count") > s.group_stretches).select("anchor"))
     if large.isEmpty():
         runs = _merged(distinct, s)
     else:
         runs = _merged(distinct.join(large, "anchor", "left_anti"), s).unionByName(_by_hash(distinct.join(large, "anchor", "left_semi"), s))
     runs = stored(runs)
+    discard(distinct, large)
     release(docs.sparkSession)
     places = found.select("anchor", F.xxhash64("bytes").alias("key"), "doc_id", "cls", "at")
     met = places.join(runs, ["anchor", "key"]).select("doc_id", "cls", "at", F.explode("runs").alias("r")).filter("r.first < doc_id")
@@ -300,7 +304,7 @@ def repeated(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     copies = whole.join(whole.groupBy("same").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1"), "same").filter(f"doc_id > first and end >= {s.width}")
     cuts = cuts.union(copies.select("doc_id", "cls", F.lit(0).cast("long").alias("start"), "end"))
     cuts = stored(cuts.groupBy("doc_id", "cls").agg(F.collect_list(F.struct("start", "end")).alias("cuts")))
-    discard(shared, found, distinct, large, runs)
+    discard(found, runs)
     return cuts
 
 
