@@ -19,7 +19,9 @@ from pyspark.sql import DataFrame
 from spectraloom.llm.common import tidied
 
 #: Pieces whose encoding a worker keeps in each of two generations.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 100_000
+#: Pairs of tokens whose test a worker keeps, as one number each.
+CACHE_PAIRS = 1 << 18
 
 
 class Vocabulary:
@@ -32,7 +34,7 @@ class Vocabulary:
         self.left: dict[int, int] = {}
         self.right: dict[int, int] = {}
         self.reachable: set[int] = set()
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
         for token in sorted(self.token_bytes):
             self._split(token)
         self._pairs.clear()
@@ -70,10 +72,10 @@ class Vocabulary:
                 limit, z = z + 1, inner_z
 
     def beside(self, a: int, z: int) -> bool:
-        key = (a, z)
+        key = a << 32 | z
         known = self._pairs.get(key)
         if known is None:
-            if len(self._pairs) > 2_000_000:
+            if len(self._pairs) >= CACHE_PAIRS:
                 self._pairs.clear()
             known = self._pairs[key] = self._beside(a, z, 1 << 62)
         return known
