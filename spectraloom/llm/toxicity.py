@@ -72,26 +72,6 @@ def _codes(words: list[str], width: int) -> np.ndarray:
     return np.where(letters > 0, letters % 255 + 1, 0).astype(np.int64)
 
 
-_PAIR_GAP = 3
-
-
-def _pair_bits(words: list[str]) -> np.ndarray:
-    """(words, 4) 256-bit sets of the letter pairs at most ``_PAIR_GAP`` apart, hashed."""
-    out = np.zeros((len(words), 4), np.uint64)
-    lengths = np.array([len(w) for w in words])
-    for n in np.unique(lengths):
-        same = np.flatnonzero(lengths == n)
-        t = _codes([words[i] for i in same], int(n))
-        bits = np.zeros((len(same), 4), np.uint64)
-        rows = np.arange(len(same))
-        for gap in range(1, min(_PAIR_GAP, n - 1) + 1):
-            code = (t[:, :-gap] * 37 + t[:, gap:] * 101) & 255
-            for i in range(code.shape[1]):
-                bits[rows, code[:, i] >> 6] |= np.uint64(1) << (code[:, i] & 63).astype(np.uint64)
-        out[same] = bits
-    return out
-
-
 class SubsequenceKernel:
     """Gap-weighted kernel of common subsequences of three letters, normalised and squared, against fixed landmarks."""
 
@@ -189,9 +169,6 @@ class Model:
     def __init__(self, settings: Settings, prior: float, landmarks: list[str] = (), alpha: np.ndarray | None = None, bias: float = 0.0, fit: np.ndarray | None = None):
         self.settings, self.prior, self.landmarks, self.alpha, self.bias, self.fit = settings, prior, list(landmarks), alpha, bias, fit
         self._kernel = SubsequenceKernel(self.landmarks, settings.decay, settings.longest) if self.landmarks else None
-        toxic = self.landmarks[: settings.landmarks]
-        self._toxic_pairs = _pair_bits(toxic) if toxic else np.zeros((0, 4), np.uint64)
-        self._pair_counts = np.bitwise_count(self._toxic_pairs).sum(1)
         self._young: dict[str, float] = {}
         self._old: dict[str, float] = {}
 
@@ -202,14 +179,10 @@ class Model:
         self.__init__(*state)
 
     def word_scores(self, words: list[str]) -> np.ndarray:
-        """Scores of words; -2, the least, if a word has under half of the gapped letter pairs of every toxic landmark."""
-        out = np.full(len(words), -2.0)
+        """Scores of words by the kernel, every word's against every landmark; -2 at least."""
+        out = np.empty(len(words))
         for a in range(0, len(words), 2048):
-            part = words[a : a + 2048]
-            shared = np.bitwise_count(_pair_bits(part)[:, None, :] & self._toxic_pairs[None]).sum(2)
-            on = np.flatnonzero((2 * shared >= self._pair_counts[None]).any(1))
-            if len(on):
-                out[a + on] = np.maximum(self._kernel([part[i] for i in on]) @ self.alpha + self.bias, -2.0)
+            out[a : a + 2048] = np.maximum(self._kernel(words[a : a + 2048]) @ self.alpha + self.bias, -2.0)
         return out
 
     def _learn(self, tokens: set[str]) -> None:
