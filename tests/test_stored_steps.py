@@ -21,3 +21,11 @@ def test_peptides_are_digested_once(spark, monkeypatch):
     monkeypatch.setattr(queries, "_stored", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or stored(df))
     queries._self(spark, DATA)
     assert sum(p.count("posexplode") + p.count("Generate explode(filter(split") for p in plans) == 1, plans
+
+
+def test_search_stores_what_its_fit_reads_twice(spark, monkeypatch):
+    """Peptides, entries, heads and rows of the shards, then histogram and best matches."""
+    kept, stored = [], queries._stored
+    monkeypatch.setattr(queries, "_stored", lambda df: kept.append(df.columns) or stored(df))
+    queries.report_roundtrip(spark, DATA)
+    assert kept[4:] == [["spectrum_id", "hbin", "n"], kept[-1]] and "num_hits" in kept[-1]
