@@ -54,3 +54,20 @@ def test_no_match_is_shuffled(spark, name):
     plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     above = plan.split("MapInArrow")[0]
     assert "MapInArrow" in plan and "Aggregate" not in above and "Join" not in above
+
+
+@pytest.mark.parametrize(("dm", "charge", "shard"), [(10.0, False, 1 << 15), (10.0, True, 7), (0.3, False, 1 << 15), (120.0, False, 50)])
+def test_ladders_give_the_rows_of_their_ions(made, dm, charge, shard):
+    heads, peaks, entries, ions = made
+    p = SearchParams(dm=dm, match_charge=charge, min_shared=1)
+    want = rows(score.scorecard(match.fragment_join(heads, peaks, ions, p)).select(*KEY))
+    ladders = ion.ladders(entries, p)
+    assert want and rows(cards.closed_cards(heads, peaks, ladders, entries, p, shard)) == want
+    assert rows(cards.closed_cards(heads, peaks, [ladders.filter(F.col("entry_id") % 3 == k) for k in range(3)], entries, p, shard)) == want
+
+
+@pytest.mark.parametrize("name", ["fragment_bin_join", "hyperscore", "scorecard", "candidate_filter", "partial_merge"])
+def test_an_entry_is_shuffled_as_one_row(spark, name):
+    """Of all entries no ion is shuffled: the only fragments in the plan are those that spectra are made of."""
+    plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode(array(1, 2, 3))") + plan.count("Generate explode([1,2,3])") == 1
