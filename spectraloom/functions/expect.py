@@ -101,37 +101,70 @@ def _gumbel_target(counts: np.ndarray, top: int) -> tuple[int, np.ndarray, float
     return start, 0.35 * share(smooth) + 0.65 * share(raw), start + (int(np.argmax(raw)) + int(np.argmax(smooth))) / 2
 
 
-def gumbel_expect_many(rows: list[tuple], steps: int = 6000, rate: float = 0.12, stop: float = 1e-3) -> np.ndarray:
-    """Expect values of (counts, hits, top) rows under Gumbel densities, all fitted at once by gradient descent; NaN without a tail."""
-    out = np.full(len(rows), np.nan)
-    at = [i for i, (_, hits, top) in enumerate(rows) if top > 0 and hits > 0]
-    if not at:
-        return out
-    made = [_gumbel_target(rows[i][0], rows[i][2]) for i in at]
-    widest = max(len(t) for _, t, _ in made)
-    target, x, real = (np.zeros((len(at), widest)) for _ in range(3))
-    for i, (start, t, _) in enumerate(made):
+#: Rows that are fitted at once: their arrays stay in a core's cache. Bins whose exponentials are made from one.
+_FIT_ROWS, _STRIDE = 32, 16
+
+
+def _descend(made: list[tuple[int, np.ndarray, float]], steps: int, rate: float, stop: float) -> tuple[np.ndarray, np.ndarray]:
+    """mu and beta of each (first bin, target, start) by gradient descent on the squared difference.
+
+    With e = exp(-z) the density is e * exp(-e) / beta. Bins are evenly spaced, so e is a
+    product of a stride's first and a place in it, and sums with z are sums with the
+    bin's number. A row ends when its difference is small or its step no longer changes it.
+    """
+    width = -(-max(len(t) for _, t, _ in made) // _STRIDE) * _STRIDE
+    target, real = np.zeros((len(made), width)), np.zeros((len(made), width))
+    for i, (_, t, _) in enumerate(made):
         target[i, : len(t)], real[i, : len(t)] = t, 1.0
-        x[i] = start + np.arange(widest)
-    mu, beta = np.array([m for _, _, m in made]), np.full(len(at), 4.0)
-    live = np.arange(len(at))
+    first, mu, beta = np.array([float(a) for a, _, _ in made]), np.array([float(m) for _, _, m in made]), np.full(len(made), 4.0)
+    live, number = np.arange(len(made)), np.arange(width, dtype=float)
+    strides, places = number[::_STRIDE], number[:_STRIDE]
+    ones_numbers = np.column_stack([np.ones(width), number])
+    low, high = np.exp(-50.0), np.exp(50.0)
+    t, on = target, real
+    e, p = np.empty_like(t), np.empty_like(t)
     for _ in range(steps):
-        b = beta[live, None]
-        z = np.clip((x[live] - mu[live, None]) / b, -50, 50)
-        e = np.exp(-z)
-        p = np.exp(-(z + e)) / b * real[live]
-        gap = p - target[live]
-        going = (gap * gap).sum(1) >= stop
-        slope = 2 * gap * p * beta[live, None]
-        step_mu = (slope * (1 - e)).sum(1)
-        step_beta = (slope * (z * (1 - e) - 1)).sum(1)
-        mu[live] -= np.where(going, rate * step_mu, 0)
-        beta[live] = np.where(going, np.maximum(0.1, beta[live] - rate * step_beta), beta[live])
-        live = live[going]
-        if not len(live):
-            break
-    for k, i in enumerate(at):
-        out[i] = rows[i][1] * gumbel_density(np.array([rows[i][2]]), mu[k], beta[k])[0]
+        b, off = beta[live], first[live] - mu[live]
+        inverse = (1 / b)[:, None]
+        with np.errstate(over="ignore", under="ignore"):
+            block = np.exp(-(off[:, None] + strides) * inverse)
+            np.multiply(block[:, :, None], np.exp(-places * inverse)[:, None, :], out=e.reshape(len(live), -1, _STRIDE))
+            np.clip(e, low, high, out=e)
+            np.negative(e, out=p)
+            np.exp(p, out=p)
+            p *= e
+            p *= on
+            p *= inverse
+            gap = p - t
+            going = np.einsum("ij,ij->i", gap, gap) >= stop
+            gap *= p
+            whole, numbered = (gap @ ones_numbers).T
+            gap *= e
+            less, less_numbered = (gap @ ones_numbers).T
+        u, scale = whole - less, 2 * rate * b
+        # Sums of gap * p * (1 - e) * z, where z = (number + off) / b.
+        uz = (numbered - less_numbered + off * u) / b
+        new_mu, new_beta = mu[live] - scale * u, np.maximum(0.1, b - scale * (uz - whole))
+        moved = going & ((new_mu != mu[live]) | (new_beta != b))
+        mu[live[going]], beta[live[going]] = new_mu[going], new_beta[going]
+        if not moved.all():
+            live = live[moved]
+            if not len(live):
+                break
+            t, on = target[live], real[live]
+            e, p = np.empty_like(t), np.empty_like(t)
+    return mu, beta
+
+
+def gumbel_expect_many(rows: list[tuple], steps: int = 6000, rate: float = 0.12, stop: float = 1e-3) -> np.ndarray:
+    """Expect values of (counts, hits, top) rows under Gumbel densities, fitted by gradient descent; NaN without a tail."""
+    out = np.full(len(rows), np.nan)
+    made = {i: _gumbel_target(counts, top) for i, (counts, hits, top) in enumerate(rows) if top > 0 and hits > 0}
+    at = sorted(made, key=lambda i: len(made[i][1]))
+    for k in range(0, len(at), _FIT_ROWS):
+        some = at[k : k + _FIT_ROWS]
+        for i, mu, beta in zip(some, *_descend([made[i] for i in some], steps, rate, stop), strict=True):
+            out[i] = rows[i][1] * gumbel_density(np.array([rows[i][2]]), mu, beta)[0]
     return out
 
 

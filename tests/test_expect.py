@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from spectraloom.functions.expect import gumbel_density, gumbel_expect, savgol, tail_expect, tail_fit
+from spectraloom.functions.expect import gumbel_density, gumbel_expect, gumbel_expect_many, savgol, tail_expect, tail_fit
 from spectraloom.operators import expect
 from spectraloom.operators.series import gumbel_curve, holt_irregular
 
@@ -54,3 +54,38 @@ def test_curve_and_forecast(spark):
     assert np.allclose(got, gumbel_density(np.arange(6), 2.0, 1.5))
     assert holt_irregular([0, 1, 3], [2.0, 2.0, 2.0]) == pytest.approx(2.0)
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+def plain_descent(counts, hits, top, steps=6000, rate=0.12, stop=1e-3):
+    from spectraloom.functions.expect import _gumbel_target
+
+    start, target, mu = _gumbel_target(counts, top)
+    x, beta = start + np.arange(len(target)), 4.0
+    for _ in range(steps):
+        z = np.clip((x - mu) / beta, -50, 50)
+        p = np.exp(-(z + np.exp(-z))) / beta
+        gap = p - target
+        if (gap * gap).sum() < stop:
+            break
+        slope = 2 * gap * p * beta
+        mu, beta = mu - rate * (slope * (1 - np.exp(-z))).sum(), max(0.1, beta - rate * (slope * (z * (1 - np.exp(-z)) - 1)).sum())
+    return float(hits * gumbel_density(np.array([top]), mu, beta)[0])
+
+
+def test_descent_of_many_is_that_of_each():
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(40):
+        counts = np.bincount(np.minimum(np.maximum(rng.gumbel(20 + i, 1 + i / 4, 50 + 40 * i), 1), 400).astype(int))
+        counts[rng.integers(0, len(counts), len(counts) // 3)] = 0
+        rows.append((np.append(counts, [1, 0]), int(counts.sum()) + 1, len(counts)))
+    got = gumbel_expect_many(rows)
+    want = [plain_descent(*r) for r in rows]
+    assert all(g == pytest.approx(w, rel=1e-6, abs=1e-300) for g, w in zip(got, want, strict=True))
+
+
+def test_fits_are_dealt_to_all_cores(spark):
+    h = spark.createDataFrame([(i, b, 5) for i in range(40) for b in range(3, 9)], "spectrum_id long, hbin int, n long")
+    b = spark.createDataFrame([(i, 0.9, 31) for i in range(40)], "spectrum_id long, hyperscore double, num_hits long")
+    got = expect.gumbel_expect(h, b).withColumn("task", F.spark_partition_id()).collect()
+    assert len(got) == 40 and len({r.task for r in got}) > 4
