@@ -12,6 +12,8 @@ smallest document of a run is the first to have it.
 
 from __future__ import annotations
 
+import functools
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spectraloom.llm.common import _BYTE, _powers, discard, mix, release, steps, stored, text_buffer, tidied
+from spectraloom.llm.common import _BYTE, _powers, discard, mix, release, scratch_dir, steps, stored, text_buffer, tidied
+from spectraloom.memory import ease
 
 
 @dataclass(frozen=True)
@@ -29,7 +32,9 @@ class Settings:
     shard_bytes, merge_bytes: stretches of a shard, and of the shards that are
     merged at a time (whole anchors). group_stretches: an anchor with more
     distinct stretches is settled by window hashes instead, as it would not fit
-    a task.
+    a task. pass_stretches, passes: stretches that are settled at a time, so that
+    the tables of a few anchors only are on disk beside the stretches, and into
+    how many parts all are dealt at most.
     """
 
     width: int = 50
@@ -37,6 +42,8 @@ class Settings:
     shard_bytes: int = 1 << 15
     merge_bytes: int = 1 << 16
     group_stretches: int = 4096
+    pass_stretches: int = 1 << 23
+    passes: int = 8
 
 
 _LOW = np.uint64((1 << 24) - 1)
@@ -278,17 +285,35 @@ def _by_hash(distinct: DataFrame, s: Settings) -> DataFrame:
     return rows.join(least, ["anchor", "w"]).groupBy("anchor", "key").agg(F.collect_list(one).alias("runs"))
 
 
-def repeated(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """doc_id, cls, cuts (array<struct<start, end>>): byte ranges of each text that a document of smaller id has."""
-    s = settings
+def _dealt(found: DataFrame, passes: int) -> list[DataFrame]:
+    """``found`` stored in parts by anchor, each a table that can go by itself; every task has a writer for each, so nothing is sorted."""
+    if passes == 1:
+        return [stored(found)]
+    spark, path, writers = found.sparkSession, f"{scratch_dir(found.sparkSession)}/{uuid.uuid4().hex}", "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(writers)
+    spark.conf.set(writers, str(passes))
+    try:
+        part = F.pmod(F.xxhash64("anchor"), F.lit(passes)).cast("int")
+        found.withColumn("part", part).write.option("compression", "zstd").partitionBy("part").parquet(path)
+    finally:
+        spark.conf.set(writers, before)
+    ease(spark)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = {f.getPath().getName() for f in p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)}
+    parts = []
+    for k in range(passes):
+        if f"part={k}" in there:
+            parts.append(spark.read.schema(found.schema).parquet(f"{path}/part={k}"))
+            parts[-1]._scratch_path = f"{path}/part={k}"
+    return parts
+
+
+def _cuts(found: DataFrame, s: Settings) -> DataFrame:
+    """doc_id, cls, start, end: byte ranges of the stretches ``found`` that a document of smaller id has; ``found`` is deleted."""
+    spark = found.sparkSession
     # What a step has read goes before the next one writes: its table, and the shuffle files behind it.
-    shared = stored(shared_anchors(docs, s))
-    release(docs.sparkSession)
-    found = stored(stretches(docs, shared, s))
-    discard(shared)
-    release(docs.sparkSession)
     distinct = stored(found.groupBy("anchor", "bytes").agg(F.min("doc_id").alias("first")).withColumn("key", F.xxhash64("bytes")))
-    release(docs.sparkSession)
+    release(spark)
     large = stored(distinct.groupBy("anchor").count().filter(F.col("count") > s.group_stretches).select("anchor"))
     if large.isEmpty():
         runs = _merged(distinct, s)
@@ -296,15 +321,30 @@ def repeated(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         runs = _merged(distinct.join(large, "anchor", "left_anti"), s).unionByName(_by_hash(distinct.join(large, "anchor", "left_semi"), s))
     runs = stored(runs)
     discard(distinct, large)
-    release(docs.sparkSession)
+    release(spark)
     places = found.select("anchor", F.xxhash64("bytes").alias("key"), "doc_id", "cls", "at")
     met = places.join(runs, ["anchor", "key"]).select("doc_id", "cls", "at", F.explode("runs").alias("r")).filter("r.first < doc_id")
-    cuts = met.select("doc_id", "cls", (F.col("at") + F.col("r.a")).alias("start"), (F.col("at") + F.col("r.z") + (s.width - 1)).alias("end"))
+    cuts = stored(met.select("doc_id", "cls", (F.col("at") + F.col("r.a")).alias("start"), (F.col("at") + F.col("r.z") + (s.width - 1)).alias("end")))
+    discard(found, runs)
+    release(spark)
+    return cuts
+
+
+def repeated(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """doc_id, cls, cuts (array<struct<start, end>>): byte ranges of each text that a document of smaller id has."""
+    s = settings
+    shared = stored(shared_anchors(docs, s))
+    release(docs.sparkSession)
+    many = shared.agg(F.coalesce(F.sum(F.size("anchors")), F.lit(0))).first()[0]
+    found = _dealt(stretches(docs, shared, s), min(s.passes, 1 + many // s.pass_stretches))
+    discard(shared)
+    release(docs.sparkSession)
+    parts = [_cuts(part, s) for part in found]
     whole = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("cls"), F.md5("text").alias("same"), F.octet_length("text").cast("long").alias("end"))
     copies = whole.join(whole.groupBy("same").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1"), "same").filter(f"doc_id > first and end >= {s.width}")
-    cuts = cuts.union(copies.select("doc_id", "cls", F.lit(0).cast("long").alias("start"), "end"))
+    cuts = functools.reduce(DataFrame.union, parts, copies.select("doc_id", "cls", F.lit(0).cast("long").alias("start"), "end"))
     cuts = stored(cuts.groupBy("doc_id", "cls").agg(F.collect_list(F.struct("start", "end")).alias("cuts")))
-    discard(found, runs)
+    discard(*parts)
     return cuts
 
 

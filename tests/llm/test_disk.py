@@ -1,5 +1,7 @@
 """op4 gives disk back before its next step needs more."""
 
+from pathlib import Path
+
 from spectraloom.llm import suffixes
 
 
@@ -24,3 +26,22 @@ def test_tables_and_shuffles_go_before_the_next_step(spark, monkeypatch):
     at = log.index
     assert at("-shared") < at("distinct") < at("large") < at("runs") < at("-distinct") < at("cuts")
     assert "release" in log[at("distinct") : at("runs")]
+
+
+def test_stretches_are_settled_in_parts(spark, monkeypatch):
+    """A part's stretches and tables are gone before those of the next are made; the rows are those of one pass."""
+    texts = [f"{i} " + "".join(f"passage {j} that some of these texts have in common, of well over fifty bytes; " for j in range(i % 5, i % 5 + 3)) for i in range(12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted(map(str, suffixes.remove(docs).collect()))
+    there, store = [], suffixes.stored
+
+    def stored(df):
+        out = store(df)
+        if df.columns == ["anchor", "bytes", "first", "key"]:
+            there.append([*(Path(suffixes.scratch_dir(spark).removeprefix("file://")).glob("*/part=*"))])
+        return out
+
+    monkeypatch.setattr(suffixes, "stored", stored)
+    got = sorted(map(str, suffixes.remove(docs, suffixes.Settings(pass_stretches=1, passes=3)).collect()))
+    assert got == want and any("start" in r for r in got)
+    assert [len(x) for x in there] == [3, 2, 1]
