@@ -42,7 +42,7 @@ class Settings:
     shard_bytes: int = 1 << 15
     merge_bytes: int = 1 << 16
     group_stretches: int = 4096
-    pass_stretches: int = 1 << 23
+    pass_stretches: int = 1 << 24
     passes: int = 8
 
 
