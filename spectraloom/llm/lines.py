@@ -130,7 +130,8 @@ def _texts(docs: DataFrame, places: DataFrame) -> DataFrame:
 
 def _similar(s: Settings, wa: str, wb: str) -> Column:
     most = _allowed(s, F.length(wa), F.length(wb))
-    return F.when(F.abs(F.length(wa) - F.length(wb)) <= most, F.call_function("levenshtein", F.col(wa), F.col(wb), most).between(0, most)).otherwise(False)
+    # The function gives -1 beyond ``most``; a filter would compute it again for each further mention.
+    return F.when(F.abs(F.length(wa) - F.length(wb)) <= most, F.call_function("levenshtein", F.col(wa), F.col(wb), most) >= 0).otherwise(False)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
@@ -185,7 +186,8 @@ def _rarest(texts: DataFrame, s: Settings) -> DataFrame:
     kinds = [F.when(short, F.struct(F.lit(True).alias("words"), F.transform("w", lambda x: F.xxhash64(x)).alias("of"))), F.when(long, F.struct(F.lit(False).alias("words"), runs.alias("of")))]
     rows = rows.select("h", "n", F.inline(F.array_compact(F.array(*kinds))))
     rows = stored(rows.select("h", "n", "words", F.explode(F.array_distinct("of")).alias("item")))
-    counted = rows.join(rows.groupBy("words", "item").agg(F.count("*").alias("c")), ["words", "item"])
+    counts = rows.groupBy("words", "item").agg(F.count("*").alias("c"))
+    counted = rows.join(counts.hint("shuffle_hash"), ["words", "item"])
     found = counted.groupBy("h", "n", "words").agg(F.sort_array(F.collect_list(F.struct("c", "item"))).alias("all"))
     most = _most_edits(F.col("n"), s)
     found = found.select("h", "n", "words", F.transform(F.slice("all", F.lit(1), F.when(F.col("words"), most + 2).otherwise(2 * most + 1)), lambda x: x["item"]).alias("first"), most.alias("most"))
