@@ -38,6 +38,11 @@ class Vocabulary:
         for token in sorted(self.token_bytes):
             self._split(token)
         self._pairs.clear()
+        # Most bytes of a token with these first four.
+        self._reach: dict[bytes, int] = {}
+        for b in ranks:
+            if len(b) > 3:
+                self._reach[b[:4]] = max(len(b), self._reach.get(b[:4], 0))
 
     def _split(self, token: int) -> None:
         """The two tokens whose merge makes ``token``; a single byte has none."""
@@ -80,6 +85,32 @@ class Vocabulary:
             known = self._pairs[key] = self._beside(a, z, 1 << 62)
         return known
 
+    def tokens(self, data: bytes) -> list[int]:
+        """The tokens of ``data``, from entries of its prefix table that the longest tokens ask for.
+
+        Each end is reached by the one token of its entry, so that an end from
+        which no token leads on is never tried again.
+        """
+        get, known, beside, reach = self.ranks.get, self.reachable, self.beside, self._reach.get
+        n = len(data)
+        out, begins, dead = [], [], set()
+        start, most = 0, min(n, reach(data[:4], 3))
+        while start < n:
+            for end in range(most, start, -1):
+                token = get(data[start:end])
+                if token is not None and end not in dead and token in known and (not out or beside(out[-1], token)):
+                    out.append(token)
+                    begins.append(start)
+                    start, most = end, min(n, end + reach(data[end : end + 4], 3))
+                    break
+            else:
+                if not out:
+                    raise ValueError("a byte has no token")
+                dead.add(start)
+                out.pop()
+                start, most = begins.pop(), start - 1
+        return out
+
 
 class PrefixTable:
     """Last token of each prefix of ``data``; ``last[i]`` ends the prefix of length i + 1."""
@@ -119,12 +150,13 @@ class Tokenizer:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.vocabulary, self.pattern = Vocabulary(ranks), regex.compile(pattern)
+        self._text = {i: b"%d" % i for i in self.vocabulary.token_bytes}
         self._young: dict[str, tuple[bytes, bytes]] = {}
         self._old: dict[str, tuple[bytes, bytes]] = {}
 
     def piece(self, data: bytes) -> list[int]:
         whole = self.vocabulary.ranks.get(data)
-        return [whole] if whole is not None else PrefixTable(self.vocabulary, data).tokens()
+        return [whole] if whole is not None else self.vocabulary.tokens(data)
 
     def encode(self, text: str) -> list[int]:
         return [i for p in self.pattern.findall(text) for i in self.piece(p.encode())]
@@ -136,7 +168,7 @@ class Tokenizer:
         found = self._old.get(p)
         if found is None:
             ids = self.piece(p.encode())
-            found = ",".join(map(str, ids)).encode(), self.decode(ids)
+            found = b",".join([self._text[i] for i in ids]), self.decode(ids)
         if len(self._young) >= CACHE_PIECES:
             self._old, self._young = self._young, {}
         self._young[p] = found
