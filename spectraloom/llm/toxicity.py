@@ -12,9 +12,11 @@ highest are its evidence, all words of clean texts are counter-evidence.
 from __future__ import annotations
 
 import heapq
+import math
 import re
 from collections import Counter
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,9 @@ from spectraloom.llm.common import hash_sample, tidied
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _SPELLED = re.compile(r"(?<!\S)(?:\w[\W_]*\s+){2,}\w(?!\w)")
 
+#: Subsequences of words that one numpy step of the kernel works on (or those of 64 words).
+_THREES = 1 << 16
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -77,28 +82,37 @@ class SubsequenceKernel:
 
     def __init__(self, landmarks: list[str], decay: float, longest: int):
         self.landmarks, self.decay, self.longest = landmarks, decay, longest
-        t = _codes(landmarks, max(map(len, landmarks)))
-        width = t.shape[1]
-        steps = np.arange(width)[None, :] - np.arange(width)[:, None]
-        self._carry = np.where(steps >= 0, float(decay) ** np.maximum(steps, 0), 0).astype(np.float32)
-        self._match = ((t[None] == np.arange(256)[:, None, None]) & (t[None] > 0)).astype(np.float32) * np.float32(decay**2)
-        self._first = self._match @ self._carry
+        codes = _codes(landmarks, max(map(len, landmarks)))
+        used = np.unique(codes[codes > 0])
+        # A letter's number among those of the landmarks, from 1; the row of three such numbers in the table of weights; 0 for none.
+        self._letter = np.zeros(256, np.int32)
+        self._letter[used] = np.arange(1, len(used) + 1)
+        self._base = len(used) + 1
+        (i, j, k), weight = self._threes(codes.shape[1])
+        keys = self._keys(self._letter[codes], i, j, k)
+        mark, at = np.nonzero((codes[:, i] > 0) & (codes[:, j] > 0) & (codes[:, k] > 0))
+        found, row = np.unique(keys[mark, at], return_inverse=True)
+        self._row = np.zeros(self._base**3, np.int32)
+        self._row[found] = np.arange(1, len(found) + 1)
+        table = np.zeros((len(found) + 1, len(landmarks)))
+        np.add.at(table, (row + 1, mark), weight[at])
+        self._table = table.astype(np.float32)
         self._norm = np.sqrt(self.own(landmarks))
 
     def own(self, words: list[str]) -> np.ndarray:
         """Kernel of each word with itself."""
-        t = _codes(words, max(map(len, words)))
-        width = t.shape[1]
-        steps = np.arange(width)[None, :] - np.arange(width)[:, None]
+        t = np.ascontiguousarray(_codes(words, max(map(len, words))).T)
+        width = len(t)
+        steps = np.arange(width)[:, None] - np.arange(width)[None, :]
         carry = np.where(steps >= 0, float(self.decay) ** np.maximum(steps, 0), 0)
-        one, two, three = np.zeros(t.shape), np.zeros(t.shape), np.zeros(len(t))
+        one, two, three = np.zeros(t.shape), np.zeros(t.shape), np.zeros(t.shape[1])
         for i in range(width):
-            m = ((t == t[:, i : i + 1]) & (t > 0) & (t[:, i : i + 1] > 0)) * self.decay**2
-            three += (m[:, 1:] * two[:, :-1]).sum(1)
+            m = ((t == t[i]) & (t[i] > 0)) * self.decay**2
+            three += (m[1:] * two[:-1]).sum(0)
             inc = np.zeros(t.shape)
-            inc[:, 1:] = m[:, 1:] * one[:, :-1]
-            two = self.decay * two + inc @ carry
-            one = self.decay * one + m @ carry
+            inc[1:] = m[1:] * one[:-1]
+            two = self.decay * two + carry @ inc
+            one = self.decay * one + carry @ m
         return np.maximum(three, 1e-12)
 
     def __call__(self, words: list[str]) -> np.ndarray:
@@ -107,29 +121,31 @@ class SubsequenceKernel:
         lengths = np.array([len(w) for w in words])
         for n in np.unique(lengths):
             same = np.flatnonzero(lengths == n)
-            for a in range(0, len(same), 128):
-                part = same[a : a + 128]
+            for a in range(0, len(same), step := max(64, _THREES // max(1, math.comb(int(n), 3)))):
+                part = same[a : a + step]
                 out[part] = self._of_length([words[i] for i in part], int(n))
         like = out / self._norm[None]
         return like * like
 
+    def _threes(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of three letters of a word of n, in order, and the weights of what they span."""
+        places = np.array(list(combinations(range(n), 3)), np.int64).reshape(-1, 3).T
+        return places, (float(self.decay) ** (places[2] - places[0] + 1)).astype(np.float32)
+
+    def _keys(self, letters: np.ndarray, i: np.ndarray, j: np.ndarray, k: np.ndarray) -> np.ndarray:
+        return (letters[:, i] * self._base + letters[:, j]) * self._base + letters[:, k]
+
     def _of_length(self, words: list[str], n: int) -> np.ndarray:
-        """Values of words of n letters, one letter of all of them at a time; not yet divided by the landmarks' norms."""
+        """Values of words of n letters, by their subsequences that a landmark has; not yet divided by the landmarks' norms."""
         t = _codes(words, n)
-        z, width = self._match.shape[1:]
-        decay, carry = np.float32(self.decay), self._carry[1:, 1:]
-        one = self._first[t[:, 0]]
-        two, three = np.zeros_like(one), np.zeros((len(words), z), np.float32)
-        for i in range(1, n):
-            m = self._match[t[:, i]][:, :, 1:]
-            if i > 1:
-                three += np.einsum("bzj,bzj->bz", m, two[:, :, :-1])
-            if i < n - 1:
-                inc = (m * one[:, :, :-1]).reshape(-1, width - 1) @ carry
-                two *= decay
-                two[:, :, 1:] += inc.reshape(len(words), z, width - 1)
-                one *= decay
-                one += self._first[t[:, i]]
+        (i, j, k), weight = self._threes(n)
+        row = self._row[self._keys(self._letter[t], i, j, k)].ravel()
+        hit = np.flatnonzero(row)
+        three = np.zeros((len(words), len(self.landmarks)), np.float32)
+        if len(hit):
+            word = hit // len(weight)
+            begin = np.flatnonzero(np.diff(word, prepend=-1))
+            three[word[begin]] = np.add.reduceat(self._table[row[hit]] * weight[hit % len(weight), None], begin)
         return three / np.sqrt(self.own(words))[:, None]
 
 
@@ -181,8 +197,8 @@ class Model:
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Scores of words by the kernel, every word's against every landmark; -2 at least."""
         out = np.empty(len(words))
-        for a in range(0, len(words), 2048):
-            out[a : a + 2048] = np.maximum(self._kernel(words[a : a + 2048]) @ self.alpha + self.bias, -2.0)
+        for a in range(0, len(words), 8192):
+            out[a : a + 8192] = np.maximum(self._kernel(words[a : a + 8192]) @ self.alpha + self.bias, -2.0)
         return out
 
     def _learn(self, tokens: set[str]) -> None:
