@@ -123,9 +123,11 @@ def _number(doc_id: str = "doc_id") -> Column:
 def _texts(docs: DataFrame, places: DataFrame) -> DataFrame:
     """h, words (coded) of the lines at ``places`` (h, id, cls, line), each h once; only their documents' lines are read."""
     wanted = places.groupBy("id", "cls").agg(F.collect_list(F.struct("line", "h")).alias("at"))
-    met = docs.select(_number().alias("id"), F.xxhash64("text").alias("cls"), "text").join(wanted.hint("merge"), ["id", "cls"])
-    rows = met.dropDuplicates(["id", "cls"]).select(F.split("text", "\n", -1).alias("parts"), "at").select("parts", F.explode("at").alias("p"))
-    return rows.select(F.col("p.h").alias("h"), _codes(F.get("parts", F.col("p.line"))).alias("words"))
+    # What is wanted is hashed, so that no text is sorted; of rows that repeat id and text only the lines at places are compared.
+    met = docs.select(_number().alias("id"), F.xxhash64("text").alias("cls"), "text").join(wanted.hint("shuffle_hash"), ["id", "cls"])
+    rows = met.select("id", "cls", F.split("text", "\n", -1).alias("parts"), "at").select("id", "cls", "parts", F.explode("at").alias("p"))
+    rows = rows.select("id", "cls", F.col("p.h").alias("h"), F.get("parts", F.col("p.line")).alias("raw")).dropDuplicates(["id", "cls", "h"])
+    return rows.select("h", _codes(F.col("raw")).alias("words"))
 
 
 def _similar(s: Settings, wa: str, wb: str) -> Column:
@@ -260,8 +262,9 @@ def removed_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame
     label = _groups(docs, wide, s)
     number = _number().alias("id")
     seen = wide.groupBy("h").agg(F.min(number).alias("first"), F.count("*").alias("n"))
-    every = seen.join(label.withColumnRenamed("id", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
-    every = stored(every)
+    # A line that occurs once and has no link is alone in its group.
+    every = seen.join(label.withColumnRenamed("id", "h"), "h", "left").filter("n > 1 or component is not null")
+    every = stored(every.withColumn("component", F.coalesce("component", "h")))
     repeated = every.groupBy("component").agg(F.min("first").alias("keep"), F.sum("n").alias("all")).filter("all > 1")
     met = wide.select("doc_id", "cls", "line", "h", number).join(every.join(repeated, "component").select("h", "component", "keep"), "h")
     met = stored(met.select("doc_id", "cls", "line", "component", (F.col("id") == F.col("keep")).alias("home")))
@@ -279,7 +282,7 @@ def _cut(docs: DataFrame, settings: Settings) -> DataFrame:
     others = [c for c in docs.columns if c != "text"]
     # The lines are cut before the join, so that what picks some of them does not cut them again for each.
     split = docs.select(*others, _number().alias("__id"), F.xxhash64("text").alias("__cls"), F.split("text", "\n", -1).alias("__lines"))
-    found = split.join(gone.hint("merge"), (F.col("__cls") == F.col("__gone_cls")) & (F.col("__id") == F.col("__gone_id")), "left")
+    found = split.join(gone.hint("shuffle_hash"), (F.col("__cls") == F.col("__gone_cls")) & (F.col("__id") == F.col("__gone_id")), "left")
     kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
     chosen = F.when(F.col("__gone").isNull(), F.col("__lines")).otherwise(F.transform(kept, lambda i: F.get("__lines", i)))
     text = F.when(F.col("__lines").isNotNull(), F.array_join(chosen, "\n"))
