@@ -143,7 +143,7 @@ def stretches(docs: DataFrame, shared: DataFrame, s: Settings) -> DataFrame:
                     rows = pa.array(a + row[some])
                     yield pa.RecordBatch.from_arrays([pa.array(h[some].view(np.int64)), ids.take(rows), cls.take(rows), pa.array(first[some] - offsets[row[some]]), pa.array(texts, pa.binary())], ["anchor", "doc_id", "cls", "at", "bytes"])
 
-    met = _with_class(docs).join(shared.hint("merge"), "cls").select("doc_id", "cls", "text", "anchors")
+    met = _with_class(docs).join(shared.hint("shuffle_hash"), "cls").select("doc_id", "cls", "text", "anchors")
     return met.mapInArrow(work, "anchor long, doc_id long, cls long, at long, bytes binary")
 
 
@@ -348,6 +348,33 @@ def repeated(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return cuts
 
 
+def _without(raw: np.ndarray, offsets: np.ndarray, cuts: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Maximal spans of the ``cuts`` (list of start and end, or null) of each text, and the bytes left; all texts at once."""
+    many = cuts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    every = cuts.flatten()
+    owner = np.repeat(np.arange(len(many)), many)
+    # Counted from the first text on, with a byte between texts, so that no span joins those of two texts.
+    base = offsets[owner] + owner
+    start, end = every.field("start").to_numpy() + base, every.field("end").to_numpy() + base
+    order = np.argsort(start, kind="stable")
+    start, reach, owner = start[order], np.maximum.accumulate(end[order]), owner[order]
+    begins = np.ones(len(start), bool)
+    begins[1:] = start[1:] > reach[:-1]
+    at = np.flatnonzero(begins)
+    owner = owner[at]
+    start, end = start[at] - owner, reach[np.append(at[1:], len(reach))[: len(at)] - 1] - owner
+    of = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(many)))])
+    fields = [pa.array(start - offsets[owner]), pa.array(end - offsets[owner])]
+    spans = pa.ListArray.from_arrays(pa.array(of.astype(np.int32)), pa.StructArray.from_arrays(fields, ["start", "end"]))
+    gone = np.concatenate([[0], np.cumsum(end - start)])[of]
+    # Bytes from the end of one span to the start of the next, across texts.
+    pieces, buffer = raw.data, bytearray()
+    for x, y in zip([0, *end.tolist()], [*start.tolist(), len(raw)], strict=True):
+        buffer += pieces[x:y]
+    left = (offsets - gone).astype(np.int32)
+    return spans, pa.Array.from_buffers(pa.binary(), len(many), [None, pa.py_buffer(left), pa.py_buffer(bytes(buffer))])
+
+
 def remove(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Per row of ``docs``: doc_id, n_bytes, spans (array<struct<start, end>>, maximal and ascending), kept (binary).
 
@@ -360,26 +387,13 @@ def remove(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     @tidied
     def work(batches):
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for b in batches:
             raw, offsets = text_buffer(b.column("text"))
-            sizes, spans, kept = [], [], []
-            for i, cuts in enumerate(b.column("cuts").to_pylist()):
-                data = raw[offsets[i] : offsets[i + 1]].tobytes()
-                runs: list[list[int]] = []
-                for x, y in sorted((c["start"], c["end"]) for c in cuts or ()):
-                    if runs and x <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], y)
-                    else:
-                        runs.append([x, y])
-                edges = [0, *(v for r in runs for v in r), len(data)]
-                sizes.append(len(data))
-                spans.append([{"start": x, "end": y} for x, y in runs])
-                kept.append(b"".join(data[edges[k] : edges[k + 1]] for k in range(0, len(edges), 2)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
+            spans, kept = _without(raw, offsets, b.column("cuts"))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(offsets)), spans, kept], ["doc_id", "n_bytes", "spans", "kept"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("cls"), "text")
     cut = repeated(docs, settings)
     release(docs.sparkSession)
-    met = rows.join(cut.hint("merge"), ["doc_id", "cls"], "left").select("doc_id", "text", "cuts")
+    met = rows.join(cut.hint("shuffle_hash"), ["doc_id", "cls"], "left").select("doc_id", "text", "cuts")
     return met.mapInArrow(work, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
