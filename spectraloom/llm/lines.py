@@ -279,15 +279,14 @@ def removed_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame
 def _cut(docs: DataFrame, settings: Settings) -> DataFrame:
     """The columns of ``docs``, text less its removed lines, __n_lines, __n_removed."""
     gone = removed_lines(docs, settings).select(_number().alias("__gone_id"), F.col("cls").alias("__gone_cls"), F.col("gone").alias("__gone"))
-    others = [c for c in docs.columns if c != "text"]
-    # The lines are cut before the join, so that what picks some of them does not cut them again for each.
-    split = docs.select(*others, _number().alias("__id"), F.xxhash64("text").alias("__cls"), F.split("text", "\n", -1).alias("__lines"))
-    found = split.join(gone.hint("shuffle_hash"), (F.col("__cls") == F.col("__gone_cls")) & (F.col("__id") == F.col("__gone_id")), "left")
-    kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
-    chosen = F.when(F.col("__gone").isNull(), F.col("__lines")).otherwise(F.transform(kept, lambda i: F.get("__lines", i)))
-    text = F.when(F.col("__lines").isNotNull(), F.array_join(chosen, "\n"))
-    count = lambda c: F.greatest(F.lit(0), F.coalesce(F.size(c), F.lit(0))).cast("long")
-    return found.select(*(text.alias(c) if c == "text" else c for c in docs.columns), count("__lines").alias("__n_lines"), count("__gone").alias("__n_removed"))
+    rows = docs.select("*", _number().alias("__id"), F.xxhash64("text").alias("__cls"))
+    found = rows.join(gone.hint("shuffle_hash"), (F.col("__cls") == F.col("__gone_cls")) & (F.col("__id") == F.col("__gone_id")), "left")
+    # Only a text that loses lines is cut, and once: the outer lambda holds its lines.
+    less = lambda cut: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), F.col("__gone")), lambda i: F.get(cut, i)), "\n")
+    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.get(F.transform(F.array(F.split("text", "\n", -1)), less), F.lit(0)))
+    feeds = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    n_lines, n_removed = F.coalesce(feeds + 1, F.lit(0)).cast("long"), F.greatest(F.lit(0), F.coalesce(F.size("__gone"), F.lit(0))).cast("long")
+    return found.select(*(text.alias(c) if c == "text" else c for c in docs.columns), n_lines.alias("__n_lines"), n_removed.alias("__n_removed"))
 
 
 def deduplicate(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:

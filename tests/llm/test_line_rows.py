@@ -36,3 +36,13 @@ def test_texts_meet_their_lines_without_a_sort_by_document(spark):
     assert got == [(1, 1), (2, 12), (3, 12)]  # the document that is there twice gives its line once
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_only_texts_that_lose_lines_are_cut(spark):
+    """Texts travel whole to their removed lines; one that loses none comes back as it was."""
+    texts = ["kept line\nsecond", "kept line\n\nthird", "\n\n", "", None, "ends with a feed\n"]
+    found = lines.deduplicate(odd.frame(spark, rows_of(texts)))
+    split = [x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "split(text" in x]
+    assert len(split) == 1 and "Join" not in "".join(found._jdf.queryExecution().optimizedPlan().toString().split("split(text")[0])
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in found.collect()}
+    assert got == {0: (texts[0], 2, 0), 1: ("\nthird", 3, 1), 2: ("\n\n", 3, 0), 3: ("", 1, 0), 4: (None, 0, 0), 5: (texts[5], 2, 0)}
