@@ -109,10 +109,10 @@ def _near(s: Settings, a: str, b: str) -> Column:
     return F.abs(F.col(a) - F.col(b)) <= _allowed(s, a, b)
 
 
-def _codes(raw: Column) -> Column:
-    """A line with each word as one character (a hashed code point of five hexadecimal digits), for edit distances in words."""
-    code = lambda w: F.hex(F.pmod(F.xxhash64(w), F.lit(0xF0000)) + F.lit(0x10000))
-    return F.decode(F.unhex(F.concat(F.lit("000"), F.array_join(F.transform(words_of(raw), code), "000"))), "UTF-32")
+def _codes(hashes: str) -> Column:
+    """A line, given its words' ``hashes``, with each word as one character (a code point of five hexadecimal digits), for edit distances in words."""
+    code = lambda x: F.hex(F.pmod(x, F.lit(0xF0000)) + F.lit(0x10000))
+    return F.decode(F.unhex(F.concat(F.lit("000"), F.array_join(F.transform(hashes, code), "000"))), "UTF-32")
 
 
 def _number(doc_id: str = "doc_id") -> Column:
@@ -121,25 +121,31 @@ def _number(doc_id: str = "doc_id") -> Column:
 
 
 def _texts(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """h, words (coded) of the lines at ``places`` (h, id, cls, line), each h once; only their documents' lines are read."""
+    """h, words (coded), bag (16 bits of each word) of the lines at ``places`` (h, id, cls, line), each h once; only their documents' lines are read."""
     wanted = places.groupBy("id", "cls").agg(F.collect_list(F.struct("line", "h")).alias("at"))
     # What is wanted is hashed, so that no text is sorted; of rows that repeat id and text only the lines at places are compared.
     met = docs.select(_number().alias("id"), F.xxhash64("text").alias("cls"), "text").join(wanted.hint("shuffle_hash"), ["id", "cls"])
     rows = met.select("id", "cls", F.split("text", "\n", -1).alias("parts"), "at").select("id", "cls", "parts", F.explode("at").alias("p"))
     rows = rows.select("id", "cls", F.col("p.h").alias("h"), F.get("parts", F.col("p.line")).alias("raw")).dropDuplicates(["id", "cls", "h"])
-    return rows.select("h", _codes(F.col("raw")).alias("words"))
+    rows = rows.select("h", F.transform(words_of("raw"), lambda w: F.xxhash64(w)).alias("hashes"))
+    return rows.select("h", _codes("hashes").alias("words"), F.transform("hashes", lambda x: F.shiftright(x, 48).cast("short")).alias("bag"))
 
 
-def _similar(s: Settings, wa: str, wb: str) -> Column:
+def _similar(s: Settings, wa: str, wb: str, bags: tuple[str, str] | None = None) -> Column:
+    """Whether two coded lines are similar. Each word of one that the other's bag has not needs an edit, so ``bags`` settle most of those that are not."""
     most = _allowed(s, F.length(wa), F.length(wb))
+    near = F.abs(F.length(wa) - F.length(wb)) <= most
+    if bags:
+        near &= F.size(F.array_except(*bags)) <= most
     # The function gives -1 beyond ``most``; a filter would compute it again for each further mention.
-    return F.when(F.abs(F.length(wa) - F.length(wb)) <= most, F.call_function("levenshtein", F.col(wa), F.col(wb), most) >= 0).otherwise(False)
+    return F.when(near, F.call_function("levenshtein", F.col(wa), F.col(wb), most) >= 0).otherwise(False)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
-    """Those of ``pairs`` (a, b) of line hashes whose ``texts`` reach the edit similarity."""
-    x, y = texts.select(F.col("h").alias("a"), F.col("words").alias("wa")), texts.select(F.col("h").alias("b"), F.col("words").alias("wb"))
-    return pairs.join(x, "a").join(y, "b").filter(_similar(s, "wa", "wb")).select("a", "b")
+    """Those of ``pairs`` (a, b) of line hashes whose ``texts`` (h, words, bag if there is one) reach the edit similarity."""
+    x, y = (texts.withColumnsRenamed({"h": x, "words": f"w{x}", "bag": f"bag{x}"}) for x in ("a", "b"))
+    bags = ("baga", "bagb") if "bag" in texts.columns else None
+    return pairs.join(x, "a").join(y, "b").filter(_similar(s, "wa", "wb", bags)).select("a", "b")
 
 
 def _in_order(a: Column, b: Column) -> list[Column]:
@@ -210,10 +216,10 @@ def _across(rows: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     sizes = rows.groupBy("key", "component").agg(F.count("*").alias("c"))
     main = sizes.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
     rows = stored(rows.join(main, "key").join(texts, "h"))
-    side = lambda df, x: df.select(*(F.col(c).alias(c + x) for c in ("key", "h", "n", "component", "subs", "main", "words")))
+    side = lambda df, x: df.select(*(F.col(c).alias(c + x) for c in ("key", "h", "n", "component", "subs", "main", "words", "bag")))
     once = F.array_min(F.array_intersect("subsx", "subsy")) == F.col("keyx")
     meet = (F.col("keyx") == F.col("keyy")) & (F.col("componentx") != F.col("componenty")) & ((F.col("componenty") == F.col("mainx")) | (F.col("hx") < F.col("hy")))
-    met = side(rows.filter("component <> main"), "x").join(side(rows, "y"), meet & _near(s, "nx", "ny") & once & _similar(s, "wordsx", "wordsy"))
+    met = side(rows.filter("component <> main"), "x").join(side(rows, "y"), meet & _near(s, "nx", "ny") & once & _similar(s, "wordsx", "wordsy", ("bagx", "bagy")))
     links = stored(met.select(*_in_order(F.col("hx"), F.col("hy"))).distinct())
     discard(rows)
     return links
@@ -222,7 +228,9 @@ def _across(rows: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
 def _groups(docs: DataFrame, wide: DataFrame, s: Settings) -> DataFrame:
     """(id, component) of the lines of ``wide`` that have a link, by verified pairs."""
     rows = wide.filter("first is not null").select("h", "n", F.explode(_pairs_of("first", _first_words(s))).alias("key")).filter("key is not null")
-    common = rows.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo < hi").select("key")
+    # Nearly every key is alone, so sums before the shuffle would save nothing. Rows travel once: n is asked for on both ways, so that they share the shuffle.
+    rows = rows.repartition("key")
+    common = rows.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.max("n").alias("most")).filter("lo < hi and most > 0").select("key")
     shared = stored(rows.join(common.hint("shuffle_hash"), "key").distinct())
     release(docs.sparkSession)
     sized = shared.join(shared.groupBy("key").agg(F.count("*").alias("c")), "key")
